@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import copies, pairs
+from ..session import cut, table
+from . import copies, mixing, packing, pairs, stuffing, tokens
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,53 @@ def p5_unique_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.unique_records(table(spark, sf_dir, "datasets_archive"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pair_surprise": p2_pair_surprise, "p5_found": p5_found, "p5_unique_records": p5_unique_records}
+def _profiles(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    return [(r[0], r[1]) for r in table(spark, sf_dir, "pack_limits").orderBy("profile").collect()]  # a table of fixed size
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of all documents, for each profile on its own."""
+    counted = tokens.token_counts(table(spark, sf_dir, "documents"))
+    return packing.pack(counted, _profiles(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def p7_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and unused capacity by profile."""
+    return packing.utilisation(p7_packing(spark, sf_dir), table(spark, sf_dir, "pack_limits"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str, totals: list[int | None]) -> list:
+    counted = cut(tokens.token_counts(table(spark, sf_dir, "documents"), keep=("source",)), "counted")
+    targets = {r["source"]: (r["target_share"], r["max_repeats"]) for r in table(spark, sf_dir, "source_targets").collect()}  # a table of fixed size
+    if -1 in totals:
+        corpus = counted.where(F.col("source").isin(list(targets))).agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+        totals = [corpus if t == -1 else t for t in totals]
+    return [mixing.mix(counted, targets, t) for t in totals]
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest mixture in which every source has its target share: documents and how often each is used."""
+    return _mixture(spark, sf_dir, [None])[0][0].withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached, for the largest mixture that meets all targets and for one as large as the corpus (where some can't be met)."""
+    out = []
+    for mode, (rows, plans) in zip(("all targets met", "size of the corpus"), _mixture(spark, sf_dir, [None, -1])):
+        total = sum(p.tokens for p in plans.values())
+        got = rows.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses"))
+        goal = spark.createDataFrame([(k, p.share, p.budget, total) for k, p in plans.items()], "source string, target_share double, budget bigint, total bigint")
+        tokens_used = F.coalesce("tokens", F.lit(0))
+        out.append(goal.join(got, "source", "left").select(F.lit(mode).alias("mode"), "source", "target_share", "budget", tokens_used.alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), (tokens_used / F.col("total")).alias("share"), (tokens_used >= F.col("budget")).alias("met")))
+    return out[0].unionByName(out[1])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are mostly keywords, links or tags."""
+    return stuffing.flag_stuffed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_pair_surprise": p2_pair_surprise, "p5_found": p5_found, "p5_unique_records": p5_unique_records, "p7_packing": p7_packing, "p7_utilisation": p7_utilisation, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
 
 _URL = r"regexp_replace(nfc_normalize(lower(url)), '[\s\p{Z}\p{C}]+', '', 'g')"
 _KEYS = rf"""
