@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import copies, mixing, packing, pairs, stuffing, tokens
+from . import copies, mixing, packing, pairs, stuffing, tokens, variety
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,19 @@ def p5_unique_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.unique_records(table(spark, sf_dir, "datasets_archive"))
 
 
+def p6_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Varied subsets of 50, 200 and 1,000 records."""
+    return variety.varied_subsets(table(spark, sf_dir, "datasets_archive"), [50, 200, 1000])
+
+
+def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each subset and of all records: categories and lead tags covered, and the share of the largest category."""
+    chosen = p6_subset(spark, sf_dir)
+    by = chosen.groupBy("size", "category").agg(F.count(F.lit(1)).alias("n"))
+    top = by.groupBy("size").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("categories"), (F.max("n") / F.sum("n")).alias("largest_share"))
+    return top.join(chosen.groupBy("size").agg(F.countDistinct("lead_tag").alias("lead_tags")), "size")
+
+
 def _profiles(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
     return [(r[0], r[1]) for r in table(spark, sf_dir, "pack_limits").orderBy("profile").collect()]  # a table of fixed size
 
@@ -77,7 +90,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.flag_stuffed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pair_surprise": p2_pair_surprise, "p5_found": p5_found, "p5_unique_records": p5_unique_records, "p7_packing": p7_packing, "p7_utilisation": p7_utilisation, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p2_pair_surprise": p2_pair_surprise, "p5_found": p5_found, "p5_unique_records": p5_unique_records, "p6_subset": p6_subset, "p6_coverage": p6_coverage, "p7_packing": p7_packing, "p7_utilisation": p7_utilisation, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
 
 _URL = r"regexp_replace(nfc_normalize(lower(url)), '[\s\p{Z}\p{C}]+', '', 'g')"
 _KEYS = rf"""
