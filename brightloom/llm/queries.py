@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import copies, mixing, packing, pairs, stuffing, tokens, variety
+from . import copies, mixing, names, packing, pairs, stuffing, tokens, variety
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows typed for one person and spellings of one organisation."""
+    sheet, lights = table(spark, sf_dir, "collection_sheet"), table(spark, sf_dir, "leading_lights")
+    spelled = cut(names.companies(sheet.select(F.col("current_company").alias("spelling")).unionByName(lights.select(F.col("company").alias("spelling")))), "spelled")
+    members = cut(names.persons(sheet, spelled), "members")
+    people = names.person_pairs(members)
+    voted = cut(names.vote(spelled, members), "voted")
+    return people.select(F.lit("person").alias("kind"), "key_a", "key_b").unionByName(names.company_pairs(voted).select(F.lit("company").alias("kind"), "key_a", "key_b"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +100,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.flag_stuffed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pair_surprise": p2_pair_surprise, "p5_found": p5_found, "p5_unique_records": p5_unique_records, "p6_subset": p6_subset, "p6_coverage": p6_coverage, "p7_packing": p7_packing, "p7_utilisation": p7_utilisation, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pair_surprise": p2_pair_surprise, "p5_found": p5_found, "p5_unique_records": p5_unique_records, "p6_subset": p6_subset, "p6_coverage": p6_coverage, "p7_packing": p7_packing, "p7_utilisation": p7_utilisation, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
 
 _URL = r"regexp_replace(nfc_normalize(lower(url)), '[\s\p{Z}\p{C}]+', '', 'g')"
 _KEYS = rf"""
