@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import analytics, problems, sessions
 
-MODULES = (problems,)
+MODULES = (problems, analytics, sessions)
 
 
 def queries() -> dict:
