@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, problems, sessions
+from . import analytics, problems, ranking, sessions
 
-MODULES = (problems, analytics, sessions)
+MODULES = (problems, analytics, sessions, ranking)
 
 
 def queries() -> dict:
