@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, problems, ranking, sessions
+from . import analytics, problems, ranking, sessions, vectors
 
-MODULES = (problems, analytics, sessions, ranking)
+MODULES = (problems, analytics, sessions, ranking, vectors)
 
 
 def queries() -> dict:
