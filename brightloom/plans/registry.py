@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, problems, ranking, sessions, vectors
+from . import analytics, catalog, ml, problems, ranking, search, sessions, vectors
 
-MODULES = (problems, analytics, sessions, ranking, vectors)
+MODULES = (problems, analytics, sessions, ranking, vectors, search, catalog, ml)
 
 
 def queries() -> dict:
