@@ -11,7 +11,7 @@
 Without ``total`` the mixture is the largest in which every target can be met under its cap of repeats. With a
 ``total``, a source that can't fill its budget is used up to its cap and reported as not met.
 
-Defined cases: documents without a listed source or without tokens are left out; a target without documents gets
+Defined cases: documents without id, without a listed source or without tokens are left out; a target without documents gets
 nothing and is reported as not met; targets are scaled to sum to 1; repeated rows are documents of their own.
 """
 
@@ -112,7 +112,7 @@ def plan(histogram: dict[str, dict[int, int]], targets: dict[str, tuple[float, i
 def mix(documents: DataFrame, targets: dict[str, tuple[float, int]], total: int | None = None, seed: int = 17) -> tuple[DataFrame, dict[str, SourcePlan]]:
     """(``id, source, n_tokens, uses``; the plan). ``documents`` has id, source, n_tokens and is read several times: give a written table."""
     spark = documents.sparkSession
-    listed = documents.where(F.col("source").isin(list(targets)) & (F.col("n_tokens") > 0))
+    listed = documents.select("id", "source", "n_tokens").where(F.col("source").isin(list(targets)) & (F.col("n_tokens") > 0) & F.col("id").isNotNull())
     histogram: dict[str, dict[int, int]] = {}
     for source, n, count in listed.groupBy("source", "n_tokens").count().collect():
         histogram.setdefault(source, {})[n] = count

@@ -6,7 +6,7 @@ room; if none has, the fullest is emitted and a new one opened. The windows stil
 merged as wholes, ``FAN_IN`` buckets at a time, best fit in decreasing order, level by level, until one group is left.
 The result depends on the ids and sizes only, not on the cluster, so a task that is run again repeats its answer.
 
-Defined cases: an item without size (null or empty text) needs no container and is left out; an item above the
+Defined cases: an item without id, and one without size (null or empty text), needs no container and is left out; an item above the
 capacity, and no other, is split into full pieces and a rest; of repeated ids each row is an item; an empty table or
 no profiles give no rows. Capacities must be positive.
 """
@@ -100,7 +100,7 @@ def _merge_group(capacities: dict[str, int]):
 
 def pack(items: DataFrame, profiles: list[tuple[str, int]], id_col: str = "id", size_col: str = "n_tokens") -> DataFrame:
     """``profile, container, id, piece, n_tokens``: every piece of every item in a container of each profile."""
-    sized = cut(items.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("n_tokens")).where(F.col(size_col) > 0), "sizes")
+    sized = cut(items.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("n_tokens")).where((F.col(size_col) > 0) & F.col(id_col).isNotNull()), "sizes")
     kind = sized.schema["id"].dataType.simpleString()
     buckets = max(1, ceil(sized.count() / ROWS_PER_BUCKET))
     spread = sized.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))

@@ -14,7 +14,8 @@ than ``share`` of its characters in tokens; 0.45 stands for the greater part, as
 some of it. Everything is vectorised over a batch of documents; nothing is truncated.
 
 Defined cases: null, empty and blank texts and texts without words are never flagged (share 0); a document is judged
-by itself, so repeated rows get equal results; other columns are ignored.
+by itself, so repeated rows get equal results; a row without id is left
+out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ def stuffing(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 share, recurrence, regularity = stuffing_share(list(part.iloc[:, 1]))
                 yield pd.DataFrame({"id": part.iloc[:, 0].to_numpy(), "stuffing": share, "recurrence": recurrence, "regularity": regularity})
 
-    rows = documents.select(documents[id_col].alias("id"), documents[text_col].alias("text"))
+    rows = documents.select(documents[id_col].alias("id"), documents[text_col].alias("text")).where("id IS NOT NULL")
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInPandas(run, f"id {kind}, stuffing double, recurrence double, regularity double")
 

@@ -25,7 +25,7 @@ def encoder(ranks: str = RANKS):
 
 
 def token_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), ranks: str = RANKS) -> DataFrame:
-    """``id, n_tokens`` and the columns in ``keep``. Null and empty texts have 0 tokens; whole texts are counted."""
+    """``id, n_tokens`` and the columns in ``keep``. Null and empty texts have 0 tokens; whole texts are counted. A row without id is left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(ranks).encode_ordinary
@@ -33,7 +33,7 @@ def token_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             sizes = [len(encode(t)) if t else 0 for t in pdf.pop("text")]
             yield pdf.assign(n_tokens=pd.Series(sizes, index=pdf.index, dtype="int64"))
 
-    rows = documents.select(documents[id_col].alias("id"), *[documents[k].alias(f"k{i}") for i, k in enumerate(keep)], documents[text_col].alias("text"))
+    rows = documents.select(documents[id_col].alias("id"), *[documents[k].alias(f"k{i}") for i, k in enumerate(keep)], documents[text_col].alias("text")).where("id IS NOT NULL")
     out = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
     counted = rows.mapInPandas(run, ", ".join([*out, "n_tokens bigint"]))
     return counted.select("id", *[counted[f"k{i}"].alias(k) for i, k in enumerate(keep)], "n_tokens")
