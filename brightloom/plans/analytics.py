@@ -68,8 +68,8 @@ QUERIES = {
     "page_views": _on(A.page_views),
     "page_views_top10": lambda s, d: A.top(A.page_views(_events(s, d)), "views", "path", 10),
     "country_sessions": _on(A.country_sessions),
-    "dwell_by_session": lambda s, d: A.dwell_by_session(_dwell(s, d)),
-    "dwell_rollup": lambda s, d: A.dwell_rollup(_dwell(s, d)),
+    "dwell_by_session": lambda s, d: A.dwell_by_session(_dwell(s, d)).na.fill(-1, ["dwell_ms", "first_ms"]),
+    "dwell_rollup": lambda s, d: A.dwell_rollup(_dwell(s, d)).na.fill(-1, ["dwell_ms"]),
     "milestones": _on(A.milestones),
     "frustrations": _on(A.frustrations),
     "summary_7d": summary_7d,
@@ -113,10 +113,10 @@ SQL = {
     "page_views": f"WITH {EV}, {_PATHS} SELECT * FROM pv WHERE path IS NOT NULL",
     "page_views_top10": f"WITH {EV}, {_PATHS} SELECT * FROM pv WHERE path IS NOT NULL ORDER BY views DESC, path LIMIT 10",
     "country_sessions": f"WITH {EV} SELECT country, count(DISTINCT sid) AS sessions FROM ev WHERE country <> 'unknown' GROUP BY 1",
-    "dwell_by_session": """SELECT session_id, name, coalesce(section, 'other') AS section, CAST(sum(dwell_ms) AS BIGINT) AS dwell_ms, round(sum(viewable_seconds), 4) AS viewable_seconds,
-        nullif(arg_max(coalesce(reading_ratio, -1.0), (coalesce(timestamp, -1), coalesce(reading_ratio, -1.0))), -1.0) AS reading_ratio, min(timestamp) AS first_ms
+    "dwell_by_session": """SELECT session_id, name, coalesce(section, 'other') AS section, coalesce(CAST(sum(dwell_ms) AS BIGINT), -1) AS dwell_ms, round(sum(viewable_seconds), 4) AS viewable_seconds,
+        nullif(arg_max(coalesce(reading_ratio, -1.0), (coalesce(timestamp, -1), coalesce(reading_ratio, -1.0))), -1.0) AS reading_ratio, coalesce(min(timestamp), -1) AS first_ms
         FROM content_dwell WHERE session_id IS NOT NULL AND name IS NOT NULL GROUP BY 1, 2, 3""",
-    "dwell_rollup": "SELECT name, coalesce(section, 'other') AS section, CAST(sum(dwell_ms) AS BIGINT) AS dwell_ms, round(sum(viewable_seconds), 4) AS viewable_seconds FROM content_dwell WHERE name IS NOT NULL GROUP BY 1, 2",
+    "dwell_rollup": "SELECT name, coalesce(section, 'other') AS section, coalesce(CAST(sum(dwell_ms) AS BIGINT), -1) AS dwell_ms, round(sum(viewable_seconds), 4) AS viewable_seconds FROM content_dwell WHERE name IS NOT NULL GROUP BY 1, 2",
     "milestones": f"""WITH {EV} SELECT page, milestone, count(*) AS sessions FROM (SELECT DISTINCT sid, page, TRY_CAST(d->>'$.milestone' AS INTEGER) AS milestone FROM ev WHERE type = 'scroll_milestone')
         WHERE milestone IN (25, 50, 75, 90) AND sid IS NOT NULL AND page IS NOT NULL GROUP BY 1, 2""",
     "frustrations": f"WITH {EV} SELECT page, d->>'$.type' AS kind, count(*) AS n FROM ev WHERE type = 'frustration' AND page IS NOT NULL AND d->>'$.type' IS NOT NULL GROUP BY 1, 2",

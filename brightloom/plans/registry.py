@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, catalog, ml, problems, ranking, search, sessions, vectors
+from . import analytics, catalog, io, ml, problems, ranking, search, sessions, vectors
 
-MODULES = (problems, analytics, sessions, ranking, vectors, search, catalog, ml)
+MODULES = (problems, analytics, sessions, ranking, vectors, search, catalog, ml, io)
 
 
 def queries() -> dict:

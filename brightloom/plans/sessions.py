@@ -45,8 +45,8 @@ def visible_dwell(spark, sf_dir):
 
 
 QUERIES = {
-    "session_latest": lambda s, d: S.latest_sessions(table(s, d, "session_sequences")).select("session_id", "duration_ms", "items", "pages"),
-    "session_features": lambda s, d: S.session_features(table(s, d, "session_sequences")).select("session_id", "pageviews", "unique_items", "duration_ms", "engagement_tier"),
+    "session_latest": lambda s, d: S.latest_sessions(table(s, d, "session_sequences")).select("session_id", "duration_ms", "items", "pages").na.fill(-1, ["duration_ms"]),
+    "session_features": lambda s, d: S.session_features(table(s, d, "session_sequences")).select("session_id", "pageviews", "unique_items", "duration_ms", "engagement_tier").na.fill(-1, ["duration_ms"]),
     "tier_rollup": lambda s, d: S.session_features(table(s, d, "session_sequences")).groupBy("engagement_tier").agg(F.count(F.lit(1)).alias("sessions"), F.sum("pageviews").alias("pageviews"), F.sum("unique_items").alias("items")),
     "search_session_clicks": lambda s, d: S.search_sessions(_events(s, d), A.field),
     "first_impression": lambda s, d: S.first_impressions(_events(s, d), A.field),
@@ -64,8 +64,8 @@ _TIER = "CASE WHEN r.d = -1 THEN NULL WHEN r.d < 10000 THEN 'bounce' WHEN r.d <
 _STAR = "st AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS at_ms, ts FROM events)"
 
 SQL = {
-    "session_latest": f"WITH {_LATEST} SELECT session_id, nullif(r.d, -1) AS duration_ms, CAST(r.i AS INTEGER) AS items, CAST(r.p AS INTEGER) AS pages FROM l",
-    "session_features": f"WITH {_LATEST} SELECT session_id, CAST(r.p AS INTEGER) AS pageviews, CAST(r.i AS INTEGER) AS unique_items, nullif(r.d, -1) AS duration_ms, {_TIER} AS engagement_tier FROM l",
+    "session_latest": f"WITH {_LATEST} SELECT session_id, r.d AS duration_ms, CAST(r.i AS INTEGER) AS items, CAST(r.p AS INTEGER) AS pages FROM l",
+    "session_features": f"WITH {_LATEST} SELECT session_id, CAST(r.p AS INTEGER) AS pageviews, CAST(r.i AS INTEGER) AS unique_items, r.d AS duration_ms, {_TIER} AS engagement_tier FROM l",
     "tier_rollup": f"WITH {_LATEST} SELECT {_TIER} AS engagement_tier, count(*) AS sessions, CAST(sum(r.p) AS BIGINT) AS pageviews, CAST(sum(r.i) AS BIGINT) AS items FROM l GROUP BY 1",
     "search_session_clicks": f"""WITH {EV},
         h AS (SELECT sid, d->>'$.qid' AS qid, arg_min(coalesce(d->>'$.q', '~null'), (at_ms, id)) AS q FROM ev WHERE type = 'search' AND sid IS NOT NULL AND d->>'$.qid' IS NOT NULL GROUP BY 1, 2),
