@@ -35,16 +35,20 @@ FUNCTION_WORDS = frozenset(
     to in and that is are was were be been for with we on it as by from at this these those not no or but if then than
     which who whom whose has have had do does did can could will would should may might our your their its his her they he she you i
     there here so because while when where what how up down about into over after before more most some any all each other such only
-    since without once even until unless whenever yet
+    since without once even until unless whenever yet although though both between per via
     und oder aber nicht ist sind war wird werden von vom zu zum zur mit auf im am an bei für als wie wenn dass weil sich sie er es wir
     ihr ihre sein seine auch noch nur nach aus um über unter durch bis seit obwohl während doch solange sobald
+    hat haben hatte wurde wurden kann können man mehr sehr hier dort vor zwischen diese dieser diesem dieses ihnen uns bevor zurück sodass
     et ou mais ne n pas est sont était par pour dans sur avec sans qui que qu ce cette ces se s sa son ses il elle ils elles nous vous
     on au aux plus très y en comme si leur leurs avait tant après depuis parce
+    selon ont même moins dès alors dont cela ni entre vers sous chez autres quand aussi
     al o pero es fue por para con sin su sus como más muy no este esta tras hasta porque cuando aunque mientras desde
+    según incluso menos sigue otros ha han hay ser cada entre sobre así antes nada ni
     """.split()  # noqa: SIM905
 )
 LAG = 40
 HALF_WINDOW = 12
+HALF_WIDE = 40
 _TOKEN = regex.compile(r"https?://[^\s\"'<>)\]]+|www\.[^\s\"'<>)\]]+|(?:#|(?<!\S)\+|(?<!\S)tag:)[\p{L}_][\p{L}\p{N}_]+|</?(?!a\b)[a-z][^<>]{0,200}>|\n|&[a-z#0-9]+;|[\p{L}\p{M}]+|\p{N}[\p{N}.,:%]*|=|(?<=\p{L})\(|`")
 _NEWLINE, _WORD, _FUNCTION, _NUMBER, _LINK, _SIGN, _MARKUP, _ARTICLE = range(8)
 
@@ -136,10 +140,14 @@ def stuffing_share(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.
             match[lag:] = (w[lag:] == w[:-lag]) & (d[lag:] == d[:-lag]) & content[lag:]
             if match.any():
                 np.maximum(best, _window_sum(match, low, high) / np.maximum(n_content, 1), out=best)
+        far_low, far_high = np.maximum(place - HALF_WIDE, starts[d]), np.minimum(place + HALF_WIDE + 1, ends[d])
+        f_wide = _window_sum(function, far_low, far_high) / (far_high - far_low)
+        r_wide = _window_sum(near & content, far_low, far_high) / np.maximum(_window_sum(content, far_low, far_high), 1)
         figure = _window_sum(plain_token[at], low, high) > 0.5 * n_window
         a_share = 1 - n_content / n_window
         regular = (r_share >= 0.75) | ((r_share >= 0.6) & (best >= 0.3)) | ((r_share >= 0.4) & (f_share < 0.07))
-        listed = a_share < 0.08
+        regular |= (r_wide >= 0.62) & (r_share >= 0.5)
+        listed = (a_share < 0.08) | ((f_wide < 0.045) & (f_share < 0.1) & (r_wide >= 0.25) & (far_high - far_low >= 12))
         stuffed[at] = (regular | listed) & ~figure & ~plain_token[at]
         count = np.maximum(np.bincount(d, minlength=n), 1)
         recurrence, regularity = np.bincount(d, r_share, n) / count, np.bincount(d, best, n) / count
