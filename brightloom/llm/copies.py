@@ -42,8 +42,8 @@ def _fold_table() -> tuple[str, str]:
 
 def _letters(text: Column, source: str, target: str) -> Column:
     """ASCII letters and digits of ``text`` without case and accents."""
-    folded = F.translate(F.lower(F.upper(F.lower(text))), source, target)
-    return F.regexp_replace(folded, "[^a-z0-9]+", "")
+    folded = F.upper(F.translate(F.lower(text), source, target))  # upper case last, as it writes ß as SS
+    return F.regexp_replace(folded, "[^A-Z0-9]+", "")
 
 
 def cheap_invariant(name: Column, url: Column) -> Column:

@@ -10,10 +10,10 @@ The whole text becomes one sequence of tokens. For each word the operator looks
 
 A word is stuffing if its window recurs unnaturally, or has hardly any function words outside figures and code.
 Links, link texts' urls and hash tags are stuffing by themselves. A document is flagged when stuffing makes up more
-than ``share`` of its characters in tokens; 0.45 stands for the greater part, as windows that straddle a border lose
-some of it. Everything is vectorised over a batch of documents; nothing is truncated.
+than ``share`` of its characters in tokens. Everything is vectorised over a batch of documents; nothing is truncated.
 
-Defined cases: null, empty and blank texts and texts without words are never flagged (share 0); a document is judged
+Defined cases: null, empty and blank texts and texts without words are never flagged (share 0); a text of fewer than
+``LEAST_WORDS`` words is no list; a document is judged
 by itself, so repeated rows get equal results; a row without id is left
 out; other columns are ignored.
 """
@@ -49,6 +49,7 @@ FUNCTION_WORDS = frozenset(
 LAG = 40
 HALF_WINDOW = 12
 HALF_WIDE = 40
+LEAST_WORDS = 8
 _TOKEN = regex.compile(r"https?://[^\s\"'<>)\]]+|www\.[^\s\"'<>)\]]+|(?:#|(?<!\S)\+|(?<!\S)tag:)[\p{L}_][\p{L}\p{N}_]+|</?(?!a\b)[a-z][^<>]{0,200}>|\n|&[a-z#0-9]+;|[\p{L}\p{M}]+|\p{N}[\p{N}.,:%]*|=|(?<=\p{L})\(|`")
 _NEWLINE, _WORD, _FUNCTION, _NUMBER, _LINK, _SIGN, _MARKUP, _ARTICLE = range(8)
 
@@ -145,9 +146,10 @@ def stuffing_share(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.
         r_wide = _window_sum(near & content, far_low, far_high) / np.maximum(_window_sum(content, far_low, far_high), 1)
         figure = _window_sum(plain_token[at], low, high) > 0.5 * n_window
         a_share = 1 - n_content / n_window
-        regular = (r_share >= 0.75) | ((r_share >= 0.6) & (best >= 0.3)) | ((r_share >= 0.4) & (f_share < 0.07))
+        regular = ((r_share >= 0.75) & (r_wide >= 0.58)) | ((r_share >= 0.6) & (best >= 0.3) & (r_wide >= 0.5)) | ((r_share >= 0.4) & (f_share < 0.07))
         regular |= (r_wide >= 0.62) & (r_share >= 0.5)
         listed = (a_share < 0.08) | ((f_wide < 0.045) & (f_share < 0.1) & (r_wide >= 0.25) & (far_high - far_low >= 12))
+        listed &= (ends - starts)[d] >= LEAST_WORDS
         stuffed[at] = (regular | listed) & ~figure & ~plain_token[at]
         count = np.maximum(np.bincount(d, minlength=n), 1)
         recurrence, regularity = np.bincount(d, r_share, n) / count, np.bincount(d, best, n) / count
@@ -176,6 +178,6 @@ def stuffing(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInPandas(run, f"id {kind}, stuffing double, recurrence double, regularity double")
 
 
-def flag_stuffed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.45) -> DataFrame:
+def flag_stuffed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.5) -> DataFrame:
     """``id`` of the documents of which more than ``share`` is stuffing."""
     return stuffing(documents, id_col, text_col).where(f"stuffing > {share}").select("id").distinct()
