@@ -105,33 +105,56 @@ def csv_field(text: Column) -> Column:
     return F.when(s.rlike('[,"\\n]'), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def smart_truncate(text: Column, limit: int = 150) -> Column:
     """Cut at a sentence end beyond half of the limit, else at a blank beyond 70 % of it, else hard; an ellipsis marks a cut."""
-    head = F.substring(text, 1, limit)
-    stop = F.lit(limit) - F.instr(F.reverse(head), ".") + 1
-    blank = F.lit(limit) - F.instr(F.reverse(head), " ") + 1
-    by_stop = F.contains(head, F.lit(".")) & (stop > limit * 0.5)
-    by_blank = F.contains(head, F.lit(" ")) & (blank > limit * 0.7)
-    return F.when(F.length(text) <= limit, text).when(by_stop, F.substring(head, F.lit(1), stop)).when(by_blank, F.concat(F.substring(head, F.lit(1), blank - 1), F.lit("..."))).otherwise(F.concat(head, F.lit("...")))
+
+    def shorten(head: Column) -> Column:
+        stop = F.lit(limit) - F.instr(F.reverse(head), ".") + 1
+        blank = F.lit(limit) - F.instr(F.reverse(head), " ") + 1
+        by_stop = F.contains(head, F.lit(".")) & (stop > limit * 0.5)
+        by_blank = F.contains(head, F.lit(" ")) & (blank > limit * 0.7)
+        return F.when(by_stop, F.substring(head, F.lit(1), stop)).when(by_blank, F.concat(F.substring(head, F.lit(1), blank - 1), F.lit("..."))).otherwise(F.concat(head, F.lit("...")))
+
+    return F.when(F.length(text) <= limit, text).otherwise(let(F.substring(text, 1, limit), shorten))
 
 
 def snippet(text: Column, query: str, limit: int = 150, before: int = 40) -> Column:
-    """A window around the first match of the query, or of its first matching word of more than two letters."""
+    """A window around the first match of the query, or of its first matching word of more than two letters; cut at
+    blanks where one is near, with an ellipsis at each cut. Without a match the text's start."""
     whole = query.lower().strip()
-    low = F.lower(text)
-    hit = F.nullif(F.instr(low, whole), F.lit(0)) if whole else F.lit(None).cast("int")
-    for word in [w for w in whole.split() if len(w) > 2]:
-        hit = F.coalesce(hit, F.nullif(F.instr(low, word), F.lit(0)))
-    start = F.greatest(hit - 1 - before, F.lit(0))
-    end = F.least(F.length(text), start + limit)
-    window = F.substring(text, start + 1, end - start)
-    shift = F.instr(window, " ")
-    moved = F.when((start > 0) & (shift > 1) & (shift <= 15), F.substring(window, shift + 1, F.length(window))).otherwise(window)
-    moved = F.when(start > 0, F.concat(F.lit("..."), F.ltrim(moved))).otherwise(moved)
-    last = F.length(moved) - F.instr(F.reverse(moved), " ") + 1
-    word_cut = F.contains(moved, F.lit(" ")) & (last - 1 > F.length(moved) - 20) & (last > 1)
-    cut = F.when(end >= F.length(text), moved).when(word_cut, F.concat(F.substring(moved, F.lit(1), last - 1), F.lit("..."))).otherwise(F.concat(moved, F.lit("...")))
-    return F.when(hit.isNull(), smart_truncate(text, limit)).otherwise(cut)
+    words = [w for w in whole.split() if len(w) > 2]
+
+    def find(low: Column) -> Column:
+        hit = F.nullif(F.instr(low, whole), F.lit(0)) if whole else F.lit(None).cast("int")
+        for word in words:
+            hit = F.coalesce(hit, F.nullif(F.instr(low, word), F.lit(0)))
+        return hit
+
+    def end_cut(row: Column) -> Column:
+        moved = row["moved"]
+        last = F.length(moved) - F.instr(F.reverse(moved), " ") + 1
+        word_cut = F.contains(moved, F.lit(" ")) & (last - 1 > F.length(moved) - 20) & (last > 1)
+        return F.when(row["whole"], moved).when(word_cut, F.concat(F.substring(moved, F.lit(1), last - 1), F.lit("..."))).otherwise(F.concat(moved, F.lit("...")))
+
+    def front_cut(row: Column) -> Column:
+        window, start = row["window"], row["start"]
+        shift = F.instr(window, " ")
+        moved = F.when((shift > 1) & (shift <= 15), F.substring(window, shift + 1, F.length(window))).otherwise(window)
+        return F.struct(F.when(start > 0, F.concat(F.lit("..."), F.ltrim(moved))).otherwise(window).alias("moved"), row["whole"].alias("whole"))
+
+    def window(start: Column) -> Column:
+        return F.struct(F.substring(text, start + 1, F.lit(limit)).alias("window"), start.alias("start"), (start + limit >= F.length(text)).alias("whole"))
+
+    def around(hit: Column) -> Column:
+        start = F.greatest(hit - 1 - before, F.lit(0))
+        return F.when(hit.isNull(), smart_truncate(text, limit)).otherwise(let(let(let(start, window), front_cut), end_cut))
+
+    return let(let(F.lower(text), find), around)
 
 
 def highlight(text: Column, query: str) -> Column:

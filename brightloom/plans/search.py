@@ -135,6 +135,13 @@ SQL = {
         wo AS (SELECT id, unnest(x) AS w, generate_subscripts(x, 1) AS p FROM (SELECT id, regexp_split_to_array(lower(name), '[^a-z]+') AS x FROM it WHERE name IS NOT NULL)),
         f AS (SELECT id, s, min((p, k)) AS o FROM wo JOIN sy USING (w) GROUP BY 1, 2), g AS (SELECT id, string_agg(s, '; ' ORDER BY o) AS e FROM f GROUP BY 1)
         SELECT it.id, coalesce(e, '') AS expansion FROM it LEFT JOIN g USING (id) WHERE name IS NOT NULL""",
+    "snippet": f"""WITH t AS (SELECT doc_id, {_FLAT} AS t FROM documents WHERE text IS NOT NULL AND text <> ''),
+        h AS (SELECT doc_id, t, coalesce(nullif(instr(lower(t), 'patent races'), 0), nullif(instr(lower(t), 'patent'), 0), nullif(instr(lower(t), 'races'), 0)) AS hit FROM t),
+        w AS (SELECT *, greatest(hit - 41, 0) AS st, substr(t, CAST(greatest(hit - 41, 0) AS BIGINT) + 1, 150) AS w FROM h),
+        m AS (SELECT *, CASE WHEN st > 0 THEN '...' || ltrim(CASE WHEN instr(w, ' ') BETWEEN 2 AND 15 THEN substr(w, instr(w, ' ') + 1) ELSE w END, ' ') ELSE w END AS m FROM w),
+        e AS (SELECT *, length(m) - nullif(instr(reverse(m), ' '), 0) + 1 AS l, 151 - nullif(instr(reverse(left(t, 150)), '.'), 0) AS sp, 151 - nullif(instr(reverse(left(t, 150)), ' '), 0) AS bl FROM m)
+        SELECT doc_id, CASE WHEN hit IS NULL THEN CASE WHEN length(t) <= 150 THEN t WHEN sp > 75 THEN left(t, sp) WHEN bl > 105 THEN left(t, bl - 1) || '...' ELSE left(t, 150) || '...' END
+            WHEN st + 150 >= length(t) THEN m WHEN l - 1 > length(m) - 20 AND l > 1 THEN left(m, l - 1) || '...' ELSE m || '...' END AS snippet FROM e""",
     "smart_truncate": f"""WITH t AS (SELECT doc_id, {_FLAT} AS t, left({_FLAT}, 120) AS h FROM documents WHERE text IS NOT NULL AND text <> ''),
         c AS (SELECT *, 121 - nullif(instr(reverse(h), '.'), 0) AS st, 121 - nullif(instr(reverse(h), ' '), 0) AS bl FROM t)
         SELECT doc_id, CASE WHEN length(t) <= 120 THEN t WHEN st > 60 THEN left(h, st) WHEN bl > 84 THEN left(h, bl - 1) || '...' ELSE h || '...' END AS head FROM c""",
