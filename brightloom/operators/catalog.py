@@ -105,8 +105,7 @@ def round_robin(items: DataFrame, kind: str, order: list[str], limit: int) -> Da
 def round_robin_shifting(items: DataFrame, kind: str, order: str, limit: int) -> DataFrame:
     """The reference's variant: the list of kinds shrinks as they run out while the index goes on. Sequential, over at
     most ``limit`` items of each kind."""
-    w = Window.partitionBy(kind).orderBy(order)
-    short = items.select(F.col(kind).alias("kind"), F.col(order).alias("ord")).withColumn("r", F.row_number().over(w if kind == "kind" else Window.partitionBy("kind").orderBy("ord"))).where(F.col("r") <= limit)
+    short = items.select(F.col(kind).alias("kind"), F.col(order).alias("ord")).withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("ord"))).where(F.col("r") <= limit).withColumn("one", F.lit(0))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
@@ -119,7 +118,7 @@ def round_robin_shifting(items: DataFrame, kind: str, order: str, limit: int) ->
             at += 1
         return pd.DataFrame({"ord": out, "place": range(1, len(out) + 1)})
 
-    return short.groupBy(F.lit(1)).applyInPandas(pick, "ord bigint, place int")
+    return short.groupBy("one").applyInPandas(pick, "ord bigint, place int")
 
 
 def interleave_thirds(ranked: DataFrame, rank: str, total: int) -> DataFrame:
@@ -172,14 +171,20 @@ def completeness(items: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def geocode(items: DataFrame, place: str, places: DataFrame) -> DataFrame:
-    """Coordinates by exact name, else by containment either way, else by the part before a comma (``places`` is a short list)."""
-    known = F.broadcast(places.select(F.lower("place").alias("p"), "lat", "lng"))
+    """Coordinates by exact name, else by containment either way, else by the part before a comma. Places are a short
+    list, which is checked; an item tests them in one expression."""
+    known = places.limit(10_001).collect()
+    if len(known) > 10_000:
+        raise ValueError("more places than a containment list can hold")
     low = F.lower(F.trim(F.col(place)))
-    exact = (low == F.col("p")).cast("int") * 3
-    near = (low.contains(F.col("p")) | F.col("p").contains(low)).cast("int") * 2
-    city = (F.trim(F.split_part(low, F.lit(","), F.lit(1))) == F.col("p")).cast("int")
-    joined = items.join(known, (low == F.col("p")) | low.contains(F.col("p")) | F.col("p").contains(low), "left")
-    return joined.withColumn("_s", F.greatest(exact, near, city)).groupBy(*items.columns).agg(F.max_by(F.struct("lat", "lng"), F.struct("_s", F.length("p"), "p")).alias("g")).select(*items.columns, "g.lat", "g.lng")
+    city = F.trim(F.split_part(low, F.lit(","), F.lit(1)))
+
+    def grade(name: str) -> Column:
+        return F.when(low == name, 3).when(low.contains(name) | F.lit(name).contains(low), 2).when(city == name, 1).otherwise(0)
+
+    graded = F.array(*[F.struct(grade(p["place"].lower()).alias("grade"), F.lit(len(p["place"])).alias("size"), F.lit(p["place"].lower()).alias("place"), F.lit(p["lat"]).alias("lat"), F.lit(p["lng"]).alias("lng")) for p in known])
+    best = F.array_max(graded)
+    return items.withColumn("_g", F.when(best["grade"] > 0, best)).select(*items.columns, "_g.lat", "_g.lng")
 
 
 def link_health(links: DataFrame, status: str = "status") -> DataFrame:

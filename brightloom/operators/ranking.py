@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scores import ENGAGEMENT, composite, ctr, log_popularity, scale, wilson
+from ..session import cut
 from .analytics import field
 
 
@@ -53,18 +54,20 @@ def normalised(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(F.broadcast(bounds)).withColumn(out, scale(F.col(value), F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
-def ranked(df: DataFrame, score: str, key: str) -> DataFrame:
-    """Ranks 1..n by score, ties by key, without one task that sorts all: rows are range-partitioned, counted by
-    partition, and ranked within theirs on top of what stands before."""
-    placed = df.repartitionByRange(F.desc(score), F.asc(key)).withColumn("_part", F.spark_partition_id())
-    from ..session import cut
-
-    placed = cut(placed, "ranked")
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
+def running(df: DataFrame, order: list, value: Column, out: str) -> DataFrame:
+    """``out``: the sum of ``value`` over all rows before a row in the given order, without one task that sorts all: rows
+    are range-partitioned, summed by partition, and summed within theirs on top of what stands before."""
+    placed = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_v", value), "running")
+    sums = placed.groupBy("_part").agg(F.sum("_v").alias("_s"))  # one row per partition
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_part", "_before")
-    inside = Window.partitionBy("_part").orderBy(F.desc(score), F.asc(key))
-    return placed.join(F.broadcast(before), "_part").withColumn("rank", (F.row_number().over(inside) + F.col("_before")).cast("int")).drop("_part", "_before")
+    before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(w), F.lit(0))).select("_part", "_before")
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(F.broadcast(before), "_part").withColumn(out, F.coalesce(F.sum("_v").over(inside), F.lit(0)) + F.col("_before")).drop("_part", "_v", "_before")
+
+
+def ranked(df: DataFrame, score: str, key: str) -> DataFrame:
+    """Ranks 1..n by score, ties by key."""
+    return running(df, [F.desc(score), F.asc(key)], F.lit(1), "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def hybrid(observed: DataFrame, predicted: DataFrame, key: str = "item") -> DataFrame:
@@ -117,8 +120,7 @@ def coverage(signals_: DataFrame, items: int | Column) -> DataFrame:
 def auc(df: DataFrame, score: str, label: Column) -> DataFrame:
     """ROC-AUC by rank sums with ties shared. Distinct scores are pre-aggregated; only those are ranked."""
     by = df.groupBy(score).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("q"))
-    total = by.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = by.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    below = running(by, [F.asc(score)], F.col("q"), "below")
+    total = below.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
     wins = below.agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("wins"))
     return wins.join(F.broadcast(total)).select((F.col("wins") / (F.col("np") * F.col("nq"))).alias("auc"), F.col("np").alias("positives"), F.col("nq").alias("negatives"))

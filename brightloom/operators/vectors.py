@@ -22,6 +22,8 @@ from ..functions.scores import relevance
 from ..functions.vectors import cosine, dot, literal, norm
 
 BLOCK = 1024
+MAX_CENTERS = 20_000
+CHUNK = 4096
 
 
 def top_k_literal(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -79,6 +81,56 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int, threshold: float)
     return out
 
 
+def _cell_pairs(k: int, threshold: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        index, asked = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(index) or not len(asked):
+            return pd.DataFrame({"src": [], "dst": [], "score": []})
+        ids, own = asked["id"].to_numpy(), index["id"].to_numpy()
+        sims = np.round(np.stack(asked["vec"].to_numpy()).astype(float) @ np.stack(index["vec"].to_numpy()).astype(float).T, 3)
+        sims[ids[:, None] == own[None, :]] = -np.inf
+        keep = min(k, sims.shape[1])
+        top = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
+        score = np.take_along_axis(sims, top, 1)
+        out = pd.DataFrame({"src": np.repeat(ids, keep), "dst": own[top].ravel(), "score": score.ravel()})
+        return out[out["score"] > threshold]
+
+    return run
+
+
+def related_by_cells(vectors: DataFrame, k: int, threshold: float, probes: int = 8, sample: int = 50_000, seed: int = 42) -> DataFrame:
+    """Approximate ``neighbours`` of all vectors for catalogs where all pairs are too many.
+
+    Cells are k-means centres fitted on at most ``sample`` vectors (of a seeded hash order); every vector is indexed in
+    its cell and looks into its ``probes`` nearest ones. A cell is cut into chunks of ``CHUNK`` vectors on both sides, so
+    no task holds an unbounded cell. Recall against brute force is measured in the tests.
+    """
+    n = vectors.count()
+    cells = max(1, min(MAX_CENTERS, int(n**0.5 / 2)))
+    share = min(1.0, sample / max(1, n))
+    fitted = vectors.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    unit = fitted.select(array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
+    centers = np.array(KMeans(k=cells, seed=seed, maxIter=20).fit(unit).clusterCenters())
+    wide = min(probes, len(centers))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        half = (centers**2).sum(1) / 2
+        for pdf in batches:
+            if len(pdf):
+                sims = np.stack(pdf["vec"].to_numpy()).astype(float) @ centers.T - half
+                near = np.argsort(-sims, axis=1, kind="stable")[:, :wide]
+                yield pdf.assign(cells=near.tolist())
+
+    placed = vectors.select("id", "vec").mapInPandas(place, "id bigint, vec array<float>, cells array<int>")
+    chunk = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col("parts")).cast("int")
+    sizes = placed.groupBy(F.element_at("cells", 1).alias("cell")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    index = placed.withColumn("cell", F.element_at("cells", 1)).join(F.broadcast(sizes), "cell").select("cell", chunk(1).alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") * wide - 1)).alias("ask"), F.lit(0).alias("side"), "id", "vec")
+    asked = placed.select("id", "vec", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64(F.lit(2), "id"), F.col("parts") * wide).cast("int").alias("ask"), F.lit(1).alias("side"), "id", "vec")
+    found = index.unionByName(asked).groupBy("cell", "part", "ask").applyInPandas(_cell_pairs(k, threshold), "src bigint, dst bigint, score double")
+    w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def centroids(vectors: DataFrame, by: str = "label") -> DataFrame:
     """Element-wise mean vector of each group."""
     parts = vectors.select(by, F.posexplode("vec").alias("pos", "x")).groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
@@ -96,10 +148,26 @@ def diversity(vectors: DataFrame, by: str = "label") -> DataFrame:
 
 
 def nearest_centroid(points: DataFrame, centers: DataFrame, threshold: float, by: str = "label") -> DataFrame:
-    """The most similar centre of each vector, if it is above the threshold. Centres are few by construction and broadcast."""
-    c = centers.select(F.col(by).alias("center"), "centroid")
-    scored = points.join(F.broadcast(c)).select("id", "center", F.round(cosine(F.col("vec"), F.col("centroid")), 6).alias("score"))
-    return scored.groupBy("id").agg(F.max(F.struct("score", -F.col("center"))).alias("b")).select("id", (-F.col("b.col2")).alias("center"), F.col("b.score").alias("score")).where(F.col("score") > threshold)
+    """The most similar centre of each vector, if it is above the threshold; ties by the smaller centre. Centres are few
+    by construction (their number is checked) and go to the tasks as one matrix."""
+    known = centers.select(by, "centroid").orderBy(by).limit(MAX_CENTERS + 1).collect()
+    if len(known) > MAX_CENTERS:
+        raise ValueError(f"more than {MAX_CENTERS} centres")
+    names = np.array([r[0] for r in known])
+    matrix = np.array([r[1] for r in known], float).reshape(len(known), -1)
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf) or not len(names):
+                continue
+            v = np.stack(pdf["vec"].to_numpy()).astype(float)
+            sims = np.round(v @ matrix.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300), 6)
+            best = sims.argmax(1)
+            yield pd.DataFrame({"id": pdf["id"], "center": names[best], "score": sims[np.arange(len(v)), best]})
+
+    kinds = f"id {points.schema['id'].dataType.simpleString()}, center {centers.schema[by].dataType.simpleString()}, score double"
+    return points.select("id", "vec").mapInPandas(nearest, kinds).where(F.col("score") > threshold)
 
 
 def merge_small(sizes: DataFrame, centers: DataFrame, largest_small: int, threshold: float, by: str = "label") -> DataFrame:

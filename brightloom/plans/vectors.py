@@ -75,6 +75,7 @@ QUERIES = {
     "vector_topk": vector_topk,
     "related_items": related_items,
     "search_neighbours": search_neighbours,
+    "related_by_cells": lambda s, d: O.related_by_cells(_vectors(s, d), 5, 0.3),
     "centroids": centroids,
     "nearest_centroid": nearest_centroid,
     "quantize_roundtrip": quantize_roundtrip,
