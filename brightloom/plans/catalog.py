@@ -253,5 +253,10 @@ SQL = {
     "link_health": """WITH s AS (SELECT CASE WHEN url IS NULL THEN 'skipped' WHEN record_id % 50 = 0 THEN 'timeout' WHEN record_id % 33 = 0 THEN 'error' ELSE 'ok' END AS s FROM datasets_archive)
         SELECT count(*) FILTER (WHERE s = 'ok') AS ok, count(*) FILTER (WHERE s = 'skipped') AS skipped, count(*) FILTER (WHERE s = 'timeout') AS timeout, count(*) FILTER (WHERE s = 'error') AS error,
                CAST(round(100.0 * count(*) FILTER (WHERE s = 'ok') / count(*) FILTER (WHERE s <> 'skipped'), 1) AS DOUBLE) AS score FROM s""",
+    "slug_variants": rf"""SELECT record_id, regexp_replace(regexp_replace(trim(regexp_replace(lower({_FOLD('name')}), '[^a-z0-9_\s-]', '', 'g'), ' '), '[\s-]+', '-', 'g'), '^-|-$', '', 'g') AS b,
+        left(regexp_replace(trim(regexp_replace(lower(name), '[^a-z0-9_\s-]', '', 'g'), ' '), '[\s_]+', '-', 'g'), 80) AS c FROM datasets_archive WHERE name IS NOT NULL""",
+    "tags_from_fields": """WITH m AS (SELECT record_id, CASE WHEN coalesce(len(topic_tags), 0) = 0 THEN list_filter([lower(category), lower(type), lower(difficulty)], lambda x: x IS NOT NULL) ELSE topic_tags END AS t FROM datasets_archive),
+        u AS (SELECT record_id, unnest(t) AS x, generate_subscripts(t, 1) AS p FROM m), f AS (SELECT record_id, x, min(p) AS p FROM u GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY p) AS n FROM f)
+        SELECT m.record_id, coalesce(string_agg(x, '|' ORDER BY n) FILTER (WHERE n <= 4), '') AS tags FROM m LEFT JOIN r ON r.record_id = m.record_id GROUP BY 1""",
     "short_descriptions": "SELECT record_id, CAST(length(description) AS INTEGER) AS n FROM datasets_archive WHERE length(description) < 100",
 }

@@ -36,7 +36,7 @@ def exact_boost(spark, sf_dir):
 def rrf(spark, sf_dir):
     items = _items(spark, sf_dir).where("name IS NOT NULL")
     keyword = items.where("lower(name) LIKE '%survey%'").select("id", (F.length("name") % 7).cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(100)
-    semantic = items.where("id % 3 = 0").select("id", (F.length("name") / 100).alias("score")).orderBy(F.desc("score"), "id").limit(100)
+    semantic = items.select("id", (F.length("name") / 100).alias("score")).orderBy(F.desc("score"), "id").limit(100)
     return S.rrf(keyword, semantic).select("id", F.round("score", 8).alias("score"))
 
 
@@ -59,7 +59,7 @@ def facet_filter(spark, sf_dir):
 
 def sort_modes(spark, sf_dir):
     rows = _items(spark, sf_dir).where("name IS NOT NULL").select("id", "name", "type", (F.col("id") % 97).alias("score"))
-    return S.sort_results(rows, "type", ["survey", "sensor", "administrative"]).limit(100)
+    return S.sort_results(rows, "type", ["survey", "sensor", "administrative"]).limit(200)  # as many as the page keeps
 
 
 def synonyms(spark, sf_dir):
@@ -119,7 +119,7 @@ SQL = {
     "keyword_bm25": f"WITH {_IT}, {_POST}, {_bm25_sql(_WAGE)} SELECT id, round(score, 5) AS score FROM bm",
     "exact_boost": f"WITH {_IT} SELECT id, round({_BOOST('wage survey', ['wage', 'survey'])}, 6) AS boost FROM it WHERE name IS NOT NULL",
     "rrf": f"""WITH {_IT}, k AS (SELECT id, CAST(length(name) % 7 AS DOUBLE) AS score FROM it WHERE lower(name) LIKE '%survey%' ORDER BY score DESC, id LIMIT 100),
-        s AS (SELECT id, length(name) / 100 AS score FROM it WHERE name IS NOT NULL AND id % 3 = 0 ORDER BY score DESC, id LIMIT 100),
+        s AS (SELECT id, length(name) / 100 AS score FROM it WHERE name IS NOT NULL ORDER BY score DESC, id LIMIT 100),
         a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS ra FROM k), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rb FROM s), m AS (SELECT (SELECT max(score) FROM k) AS bk, (SELECT max(score) FROM s) AS bs)
         SELECT id, round(coalesce(CASE WHEN bk > 15 THEN 1.5 ELSE 1.0 END / (60 + ra), 0) + coalesce(CASE WHEN bs > 0.7 THEN 1.3 WHEN bk > 15 THEN 0.7 ELSE 1.0 END / (60 + rb), 0), 8) AS score FROM a FULL JOIN b USING (id), m""",
     "final_score": f"""WITH {_IT}, h AS (SELECT id, 'where to find ' || lower(name) AS q, difficulty FROM it WHERE name IS NOT NULL),
@@ -130,7 +130,7 @@ SQL = {
     "facets": f"""WITH {_IT}, f AS (SELECT 'type' AS facet, type AS value FROM it UNION ALL SELECT 'year', CAST(year AS VARCHAR) FROM it UNION ALL SELECT 'difficulty', difficulty FROM it UNION ALL SELECT 'category', category FROM it UNION ALL SELECT 'topics', unnest(topics) FROM it)
         SELECT facet, value, count(*) AS n FROM f WHERE value IS NOT NULL GROUP BY 1, 2""",
     "facet_filter": f"WITH {_IT} SELECT id FROM it WHERE type IN ('survey', 'sensor') AND list_has_any(topics, ['trade', 'health']) AND year BETWEEN 2024 AND 2026",
-    "sort_modes": f"WITH {_IT} SELECT id, name, type, id % 97 AS score FROM it WHERE name IS NOT NULL ORDER BY CASE type WHEN 'survey' THEN 1 WHEN 'sensor' THEN 2 WHEN 'administrative' THEN 3 ELSE 99 END, id % 97 DESC, id LIMIT 100",
+    "sort_modes": f"WITH {_IT} SELECT id, name, type, id % 97 AS score FROM it WHERE name IS NOT NULL ORDER BY CASE type WHEN 'survey' THEN 1 WHEN 'sensor' THEN 2 WHEN 'administrative' THEN 3 ELSE 99 END, id % 97 DESC, id LIMIT 200",
     "synonyms": f"""WITH {_IT}, sy(w, s, k) AS (VALUES {", ".join(f"('{w}', '{s}', {i})" for w, v in S.SYNONYMS.items() for i, s in enumerate(v))}),
         wo AS (SELECT id, unnest(x) AS w, generate_subscripts(x, 1) AS p FROM (SELECT id, regexp_split_to_array(lower(name), '[^a-z]+') AS x FROM it WHERE name IS NOT NULL)),
         f AS (SELECT id, s, min((p, k)) AS o FROM wo JOIN sy USING (w) GROUP BY 1, 2), g AS (SELECT id, string_agg(s, '; ' ORDER BY o) AS e FROM f GROUP BY 1)

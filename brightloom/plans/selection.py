@@ -181,6 +181,7 @@ SQL = {
         SELECT * FROM b ORDER BY v DESC, p_partkey LIMIT 40""",
     "themed": f"""WITH m AS (SELECT record_id, coalesce(type, 'none') AS type, {" + ".join(f"CAST(contains(lower(name), '{k}') AS INTEGER)" for k in ("wage", "price", "trade", "survey"))} AS matches FROM datasets_archive WHERE name IS NOT NULL),
         t AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY matches DESC, record_id) AS turn FROM m WHERE matches >= 1) SELECT record_id, type, matches FROM t ORDER BY turn, matches DESC, record_id LIMIT 8""",
+    "rolling_hashes": """SELECT n_name, lower(to_base(abs(list_reduce(list_transform(string_split(n_name, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)), 36)) AS hash FROM nation""",
     "display_numbers": """SELECT o_orderkey, CASE WHEN p >= 1000000 THEN printf('%.1f', p / 1000000) || 'M' WHEN p >= 1000 THEN printf('%.1f', p / 1000) || 'K' ELSE CAST(p AS VARCHAR) END AS price, CASE WHEN s < 60 THEN s || 's' ELSE (s // 60) || 'm ' || (s % 60) || 's' END AS time
         FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS p, o_orderkey * 777 // 1000 AS s FROM orders)""",
     "search_documents": "SELECT record_id, name, CASE WHEN len(tags) > 0 THEN array_to_string(tags, ' ') END AS tags, nullif(trim(description, ' '), '') AS description FROM datasets_archive",
