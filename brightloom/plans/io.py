@@ -98,6 +98,12 @@ def stream_rate_limit(spark, sf_dir):
     return _collect(spark, I.rate_limited(ev, 8), "limit").groupBy("sid").agg(F.count(F.lit(1)).alias("refused"))
 
 
+def stream_session_items(spark, sf_dir):
+    """Sessions' sequences of distinct items, accumulated on a stream."""
+    ev = A.shape(_stream(spark, sf_dir, "analytics_events")).where("sid IS NOT NULL AND type IN ('impression', 'click')").select("sid", A.field("name").alias("name"), "at_ms", "id").where("name IS NOT NULL")
+    return _collect(spark, I.session_items(ev), "items").groupBy("sid").agg(F.count(F.lit(1)).alias("items"), F.max("place").alias("last_place"), F.min("name").alias("first_name"))
+
+
 def stream_windows(spark, sf_dir):
     """Hourly counts of the star schema's events on a stream; a watermark longer than the data loses nothing."""
     ev = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type"))
@@ -136,6 +142,7 @@ QUERIES = {
     "stream_first_impressions": stream_first_impressions,
     "stream_rate_limit": stream_rate_limit,
     "stream_windows": stream_windows,
+    "stream_session_items": stream_session_items,
 }
 
 SQL = {
@@ -151,5 +158,6 @@ SQL = {
         UNION ALL SELECT record_id FROM k WHERE record_id > 700 AND u <> '' AND u NOT IN (SELECT u FROM k WHERE record_id <= 700 AND u IS NOT NULL)""",
     "stream_daily_counts": f"WITH {EV} SELECT date, type, count(*) AS n FROM ev GROUP BY 1, 2",
     "stream_first_impressions": f"WITH {EV} SELECT sid, count(DISTINCT d->>'$.name') AS items FROM ev WHERE type = 'impression' AND sid IS NOT NULL AND d->>'$.name' IS NOT NULL GROUP BY 1",
+    "stream_session_items": f"WITH {EV} SELECT sid, count(DISTINCT d->>'$.name') AS items, CAST(count(DISTINCT d->>'$.name') AS INTEGER) AS last_place, min(d->>'$.name') AS first_name FROM ev WHERE type IN ('impression', 'click') AND sid IS NOT NULL AND d->>'$.name' IS NOT NULL GROUP BY 1",
     "stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour, event_type AS type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -74,3 +74,21 @@ def _limit(most: int, span_ms: int):
 def rate_limited(events: DataFrame, most: int = 60, span_ms: int = 60_000) -> DataFrame:
     """Events (``sid, id, at_ms``) beyond ``most`` in the fixed window that starts with a session's first event."""
     return events.groupBy("sid").applyInPandasWithState(_limit(most, span_ms), "sid string, id bigint, n int", "start bigint, count int", "append", GroupStateTimeout.NoTimeout)
+
+
+def _accumulate(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    seen = list(state.get[0]) if state.exists else []
+    known, out = set(seen), []
+    for name, _, _ in sorted(((n, a, i) for pdf in pdfs for n, a, i in zip(pdf["name"], pdf["at_ms"], pdf["id"])), key=lambda r: (r[1], r[2])):
+        if name not in known:
+            known.add(name)
+            seen.append(name)
+            out.append((key[0], name, len(seen)))
+    state.update((seen,))
+    yield pd.DataFrame(out, columns=["sid", "name", "place"])
+
+
+def session_items(events: DataFrame) -> DataFrame:
+    """A session's items (``sid, name, at_ms, id``), each once, with its place in the session's sequence so far. The state
+    holds a session's distinct items, as the reference's browser tab does."""
+    return events.groupBy("sid").applyInPandasWithState(_accumulate, "sid string, name string, place int", "seen array<string>", "append", GroupStateTimeout.NoTimeout)
