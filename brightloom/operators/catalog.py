@@ -239,3 +239,41 @@ def unique_labels(labels: DataFrame, group: str, order: str, alternatives: Calla
     second = labels.withColumn("n", F.row_number().over(w)).withColumn("label2", F.when(F.col("n") == 1, F.col("label")).otherwise(F.concat("label", F.lit(" ("), alternatives(), F.lit(")"))))
     w2 = Window.partitionBy("label2").orderBy(order)
     return second.withColumn("m", F.row_number().over(w2)).withColumn("unique_label", F.when(F.col("m") == 1, F.col("label2")).otherwise(F.concat("label2", F.lit(" "), F.col("m").cast("string")))).select(group, "unique_label")
+
+
+def eligible_by_keywords(people: DataFrame, fields: tuple[str, ...], titles: tuple[str, ...]) -> DataFrame:
+    """People whose doctoral field and title each contain one of the keywords."""
+    has = lambda c, words: reduce(lambda a, b: a | b, [F.coalesce(F.lower(F.col(c)).contains(w), F.lit(False)) for w in words])
+    return people.where(has("phd_field", fields) & has("current_title", titles))
+
+
+#: Defaults of the fields that a submission of each type gets.
+SUBMISSION_DEFAULTS = {"package": {"language": "Python"}, "dataset": {"data_format": "CSV"}, "paper": {"citations": "0"}, "resource": {"level": "All"}}
+
+
+def submission_record(forms: DataFrame, kind: str) -> DataFrame:
+    """Submitted forms of one type in its catalog's shape: trimmed fields, defaults, tags from comma-separated text."""
+    cols = [F.trim("name").alias("name"), F.coalesce(F.trim("description"), F.lit("")).alias("description"), F.trim("url").alias("url"), F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("Other")).alias("category")]
+    tags = F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "").alias("tags")
+    return forms.where(F.col("type") == kind).select("id", *cols, tags, *[F.lit(v).alias(k) for k, v in SUBMISSION_DEFAULTS.get(kind, {}).items()])
+
+
+def card_filter(items: DataFrame, query: str, text: tuple[str, ...], equal: dict[str, str], always: dict[str, str] | None = None) -> DataFrame:
+    """Items whose text contains the query and whose attributes are those chosen, without case; "all" chooses nothing.
+    ``always`` gives attribute values that pass any choice."""
+    tests = [reduce(lambda a, b: a | b, [F.coalesce(F.lower(F.col(c)).contains(query.lower()), F.lit(False)) for c in text])] if query else []
+    for c, v in equal.items():
+        if v.lower() != "all":
+            same = F.coalesce(F.lower(F.col(c)) == v.lower(), F.lit(False))
+            tests.append(same | F.coalesce(F.lower(F.col(c)) == always[c].lower(), F.lit(False)) if always and c in always else same)
+    return items.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
+
+
+def best_per_category(items: DataFrame, category: str, score: str, key: str) -> DataFrame:
+    """Categories in the order of their best item's score, with that item."""
+    return items.groupBy(category).agg(F.max(score).alias("best"), F.max_by(key, F.struct(F.col(score), -F.col(key))).alias("item")).orderBy(F.desc("best"), category)
+
+
+def with_details(links: DataFrame, items: DataFrame, target: str, key: str) -> DataFrame:
+    """Linked ids with the linked items' columns; links to unknown items are dropped."""
+    return links.join(items.withColumnRenamed(key, target), target)

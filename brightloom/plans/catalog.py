@@ -164,7 +164,27 @@ def title_match(spark, sf_dir):
     return C.best_title_match(papers, papers.withColumn("title", F.concat("title", F.lit(" (working paper)"))))
 
 
+def submission_records(spark, sf_dir):
+    a = _archive(spark, sf_dir)
+    forms = a.select(F.col("record_id").alias("id"), "name", "description", "url", "category", F.array_join("tags", " , ").alias("tags"), F.lit("dataset").alias("type"))
+    return C.submission_record(forms, "dataset").withColumn("tags", F.array_join("tags", "|"))
+
+
+def more_like_this(spark, sf_dir):
+    """Related vectors of some items with the details of what they relate to."""
+    from ..operators.vectors import neighbours
+
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    details = v.where("label < 5").select("id", F.col("label").cast("int").alias("label"))
+    return C.with_details(neighbours(v.where("id % 100 = 0"), v, 10, 0.0).select("src", "dst", "rank"), details, "dst", "id").select("src", "dst", "rank", "label")
+
+
 QUERIES = {
+    "submission_records": submission_records,
+    "more_like_this": more_like_this,
+    "people_by_keywords": lambda s, d: C.eligible_by_keywords(_sheet(s, d), ("econom", "statist"), ("professor", "scientist")).select("sheet_id"),
+    "card_filter": lambda s, d: C.card_filter(_archive(s, d), "Survey", ("name", "description"), {"category": "trade", "type": "all", "difficulty": "beginner"}, {"difficulty": "intermediate"}).select("record_id"),
+    "best_per_category": lambda s, d: C.best_per_category(table(s, d, "part"), "p_brand", "p_retailprice", "p_partkey").select("p_brand", F.round("best", 2).alias("best"), "item"),
     "slug": slug,
     "slug_variants": lambda s, d: _archive(s, d).where("name IS NOT NULL").select("record_id", T.slug_b(F.col("name")).alias("b"), T.slug_c(F.col("name")).alias("c")),
     "flatten_nested": flatten_nested,
@@ -209,6 +229,14 @@ _CONTAINS = lambda words: " OR ".join(f"contains(n, '{w}')" for w in words)  # n
 _TOKENS = ("price", "survey", "trade", "weekly", "panel")
 
 SQL = {
+    "submission_records": r"""SELECT record_id AS id, trim(name, ' ') AS name, coalesce(trim(description, ' '), '') AS description, trim(url, ' ') AS url, coalesce(nullif(trim(category, ' '), ''), 'Other') AS category,
+        array_to_string(list_filter(list_transform(string_split(coalesce(array_to_string(tags, ' , '), ''), ','), lambda t: trim(t, ' ')), lambda t: t <> ''), '|') AS tags, 'CSV' AS data_format FROM datasets_archive""",
+    "more_like_this": """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings), s AS (SELECT a.id AS src, b.id AS dst, round(list_sum(list_transform(list_zip(a.vec, b.vec), lambda t: t[1] * t[2])), 3) AS s FROM v a, v b WHERE a.id <> b.id AND a.id % 100 = 0),
+        k AS (SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS INTEGER) AS rank FROM s WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) <= 10)
+        SELECT src, dst, rank, CAST(label AS INTEGER) AS label FROM k JOIN v ON v.id = dst WHERE label < 5""",
+    "people_by_keywords": "SELECT sheet_id FROM collection_sheet WHERE (contains(lower(phd_field), 'econom') OR contains(lower(phd_field), 'statist')) AND (contains(lower(current_title), 'professor') OR contains(lower(current_title), 'scientist'))",
+    "card_filter": "SELECT record_id FROM datasets_archive WHERE (contains(lower(name), 'survey') OR coalesce(contains(lower(description), 'survey'), false)) AND lower(category) = 'trade' AND lower(difficulty) IN ('beginner', 'intermediate')",
+    "best_per_category": "SELECT p_brand, round(max(p_retailprice), 2) AS best, arg_max(p_partkey, (p_retailprice, -p_partkey)) AS item FROM part GROUP BY 1",
     "slug": f"WITH s AS (SELECT record_id, 'dataset-' || {_SLUG('name')} AS b FROM datasets_archive WHERE name IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY record_id) - 1 AS n FROM s) SELECT record_id, CASE WHEN n > 0 THEN b || '-' || n ELSE b END AS slug FROM n",
     "flatten_nested": "SELECT r_name, n_name AS nations_n_name, c_custkey, c_name FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey",
     "nested_totals": "SELECT count(*) AS people, CAST(sum(coalesce(len(papers), 0)) AS BIGINT) AS papers, CAST(sum(coalesce(len(list_filter(papers, lambda p: p.venue IS NOT NULL)), 0)) AS BIGINT) AS with_venue FROM leading_lights",
