@@ -125,8 +125,8 @@ def multi_grouping(events: DataFrame) -> DataFrame:
     )
     kind = F.when(F.col("gid") == 3, "date").when(F.col("gid") == 5, "section").when(F.col("gid") == 6, "country").otherwise("total")
     key = F.when(F.col("gid") == 3, F.col("date")).when(F.col("gid") == 5, F.col("section")).when(F.col("gid") == 6, F.col("country"))
-    total = grouped.where("gid = 7").select(F.col("n").alias("total"))
-    return grouped.join(F.broadcast(total)).select(kind.alias("dimension"), F.coalesce(key, F.lit("")).alias("key"), "n", F.floor(100 * F.col("n") / F.col("total") + 0.5).cast("int").alias("pct"))
+    total = views.agg(F.count(F.lit(1))).scalar()
+    return grouped.withColumn("total", total).select(kind.alias("dimension"), F.coalesce(key, F.lit("")).alias("key"), "n", F.floor(100 * F.col("n") / F.col("total") + 0.5).cast("int").alias("pct"))
 
 
 def visitor_range(events: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def round_robin(items: DataFrame, kind: str, order: list[str], limit: int) -> Da
     w = Window.partitionBy(kind).orderBy(*order)
     turn = items.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= limit)
     first = items.groupBy(kind).agg(F.min(F.struct(*order)).alias("first"))
-    return turn.join(F.broadcast(first), kind).orderBy("turn", "first").limit(limit).drop("first")
+    return turn.join(first, kind).orderBy("turn", "first").limit(limit).drop("first")
 
 
 def round_robin_shifting(items: DataFrame, kind: str, order: str, limit: int) -> DataFrame:

@@ -9,16 +9,16 @@ from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .ranking import running
 from .vectors import neighbours
 
 
 def label_codes(items: DataFrame, column: str) -> DataFrame:
     """Adds ``<column>_code``: the place of a value among the sorted distinct ones (null counts as "unknown")."""
     value = F.coalesce(F.col(column).cast("string"), F.lit("unknown"))
-    codes = items.select(value.alias("_v")).distinct().withColumn(f"{column}_code", F.row_number().over(Window.orderBy("_v")) - 1)  # distinct values of a category column
-    return items.join(F.broadcast(codes), value == F.col("_v")).drop("_v")
+    codes = running(items.select(value.alias("_value")).distinct(), [F.asc("_value")], F.lit(1), f"{column}_code")
+    return items.join(codes, value == F.col("_value")).drop("_value")
 
 
 def item_features(items: DataFrame, kinds: list[str], texts: list[str], lists: list[str], flags: dict[str, Column], numbers: list[str]) -> tuple[DataFrame, list[str]]:
@@ -108,6 +108,6 @@ def cold_start(cold: DataFrame, observed: DataFrame, k: int = 5) -> DataFrame:
 
     ``cold`` has id and vec, ``observed`` also score."""
     near = neighbours(cold, observed, k, 0.0).join(observed.select(F.col("id").alias("dst"), F.col("score").alias("known")), "dst")
-    mean = observed.agg(F.avg("score").alias("mean"))
+    mean = observed.agg(F.avg("score")).scalar()
     guess = near.groupBy(F.col("src").alias("id")).agg((F.sum(F.col("score") * F.col("known")) / F.sum("score")).alias("guess"))
-    return cold.select("id").join(guess, "id", "left").join(F.broadcast(mean)).select("id", F.coalesce("guess", "mean").alias("score"))
+    return cold.select("id").join(guess, "id", "left").select("id", F.coalesce(F.col("guess"), mean).alias("score"))

@@ -49,9 +49,9 @@ def engagement(signals_: DataFrame) -> DataFrame:
 
 
 def normalised(df: DataFrame, value: str, out: str) -> DataFrame:
-    """A column scaled over all rows; the two bounds are broadcast instead of a window over everything."""
-    bounds = df.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    return df.join(F.broadcast(bounds)).withColumn(out, scale(F.col(value), F.col("_low"), F.col("_high"))).drop("_low", "_high")
+    """A column scaled over all rows; the two bounds are a scalar subquery instead of a window over everything."""
+    bounds = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high")).alias("b")).scalar()
+    return df.withColumn("_b", bounds).withColumn(out, scale(F.col(value), F.col("_b.low"), F.col("_b.high"))).drop("_b")
 
 
 def running(df: DataFrame, order: list, value: Column, out: str) -> DataFrame:
@@ -92,7 +92,7 @@ def section_rates(rates: DataFrame) -> DataFrame:
 def rate_scores(rates: DataFrame) -> DataFrame:
     """Click rate, Wilson bound and log popularity of each row."""
     averages = section_rates(rates).select("section", F.col("ctr").alias("average"))
-    joined = rates.join(F.broadcast(averages), "section")
+    joined = rates.join(averages, "section")
     return joined.select("name", "section", "clicks", "impressions", ctr(F.col("clicks"), F.col("impressions"), F.col("average")).alias("ctr"), wilson(F.col("clicks"), F.col("impressions")).alias("confidence"), log_popularity(F.col("clicks")).alias("popularity"))
 
 
@@ -121,6 +121,5 @@ def auc(df: DataFrame, score: str, label: Column) -> DataFrame:
     """ROC-AUC by rank sums with ties shared. Distinct scores are pre-aggregated; only those are ranked."""
     by = df.groupBy(score).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("q"))
     below = running(by, [F.asc(score)], F.col("q"), "below")
-    total = below.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    wins = below.agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("wins"))
-    return wins.join(F.broadcast(total)).select((F.col("wins") / (F.col("np") * F.col("nq"))).alias("auc"), F.col("np").alias("positives"), F.col("nq").alias("negatives"))
+    wins = below.agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("wins"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    return wins.select((F.col("wins") / (F.col("np") * F.col("nq"))).alias("auc"), F.col("np").alias("positives"), F.col("nq").alias("negatives"))

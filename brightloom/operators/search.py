@@ -119,14 +119,14 @@ def postings(items: DataFrame, boosts: dict[str, float] = FIELD_BOOSTS) -> DataF
 def bm25(posts: DataFrame, terms: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``id, score`` of items with any of the terms; ``terms`` gives each term's factor (0.9 for synonyms)."""
     lengths = posts.groupBy("id").agg(F.sum("weight").alias("length"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    stats = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).alias("s")).scalar()
     hit = posts.where(F.col("term").isin(list(terms)))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     factor = F.coalesce(F.create_map(*[F.lit(x) for kv in terms.items() for x in kv])[F.col("term")], F.lit(1.0))
-    joined = hit.join(F.broadcast(df), "term").join(lengths, "id").join(F.broadcast(stats))
+    joined = hit.join(F.broadcast(df), "term").join(lengths, "id").withColumn("s", stats).withColumns({"n": F.col("s.n"), "mean": F.col("s.mean")})
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("weight") * (k1 + 1) / (F.col("weight") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return joined.groupBy("id").agg(F.sum(factor * idf * tf).alias("score"))
+    return joined.groupBy("id").agg(F.round(F.sum(factor * idf * tf), 9).alias("score"))  # rounded, so that ties don't hang on the order of sums
 
 
 def query_terms(query: str, synonyms: dict[str, list[str]] = SYNONYMS) -> dict[str, float]:
@@ -153,13 +153,13 @@ def exact_boost(score: Column, query: str) -> Column:
 def rrf(keyword: DataFrame, semantic: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of two scored lists (``id, score``). A strong best keyword shifts the weights to 1.5 and
     0.7, a strong best vector then sets its own to 1.3. The lists are top-k results, so their ranks come from small sorts."""
-    best_k, best_s = keyword.agg(F.max("score").alias("bk")), semantic.agg(F.max("score").alias("bs"))
-    wk = F.when(F.col("bk") > 15, 1.5).otherwise(1.0)
-    ws = F.when(F.col("bs") > 0.7, 1.3).when(F.col("bk") > 15, 0.7).otherwise(1.0)
+    best_k, best_s = keyword.agg(F.max("score")).scalar(), semantic.agg(F.max("score")).scalar()
+    wk = F.when(best_k > 15, 1.5).otherwise(1.0)
+    ws = F.when(best_s > 0.7, 1.3).when(best_k > 15, 0.7).otherwise(1.0)
     w = Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "id")
     a = keyword.select("id", F.row_number().over(w).alias("ra"))
     b = semantic.select("id", F.row_number().over(w).alias("rb"))
-    joined = a.join(b, "id", "full_outer").join(F.broadcast(best_k)).join(F.broadcast(best_s))
+    joined = a.join(b, "id", "full_outer")
     part = lambda weight, rank: F.coalesce(weight / (k + F.col(rank)), F.lit(0.0))
     return joined.select("id", (part(wk, "ra") + part(ws, "rb")).alias("score"), "ra", "rb")
 
@@ -252,7 +252,7 @@ def search(items: DataFrame, query: str, top: int = 400, keep: int = 200, facets
     wanted = matches(parsed) & (facets.condition() if facets else F.lit(True))
     base = items.where(wanted) if filter_mode == "pre" else items
     scored = bm25(postings(base), query_terms(text)).orderBy(F.desc("score"), "id").limit(top)
-    boosted = scored.join(base, "id").withColumn("score", exact_boost(F.col("score"), text)).select("id", "score")
+    boosted = scored.join(base, "id").withColumn("score", F.round(exact_boost(F.col("score"), text), 9)).select("id", "score")
     fused = rrf(boosted, semantic).select("id", "score") if semantic is not None else boosted
     out = fused.join(items, "id")
     if filter_mode == "post":

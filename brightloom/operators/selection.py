@@ -74,16 +74,15 @@ def carousel(items: DataFrame, text: Column, keywords: list[str], kind: str, key
     w = Window.partitionBy(kind).orderBy(F.desc("matches"), key)
     turn = found.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= high)
     picked = turn.orderBy("turn", F.desc("matches"), key).limit(high)
-    n = picked.agg(F.count(F.lit(1)).alias("_n"))
-    return picked.join(F.broadcast(n)).where(F.col("_n") >= low).drop("_n")
+    return picked.where(picked.agg(F.count(F.lit(1))).scalar() >= low)
 
 
 def next_topics(topics: DataFrame, covered: DataFrame, key: str) -> DataFrame:
     """Topics not covered yet; all of them once every one is."""
     left = topics.join(covered, key, "left_anti")
-    none_left = left.agg((F.count(F.lit(1)) == 0).alias("_reset"))
-    flagged = topics.join(covered.select(key).distinct().withColumn("_done", F.lit(True)), key, "left").join(F.broadcast(none_left))
-    return flagged.where(F.col("_done").isNull() | F.col("_reset")).drop("_done", "_reset")
+    none_left = left.agg(F.count(F.lit(1)) == 0).scalar()
+    flagged = topics.join(covered.select(key).distinct().withColumn("_done", F.lit(True)), key, "left")
+    return flagged.where(F.col("_done").isNull() | none_left).drop("_done")
 
 
 def inject_scores(items: DataFrame, scores: DataFrame, name: str, score: str) -> DataFrame:

@@ -181,7 +181,7 @@ def cluster_relevance(vectors: DataFrame, centers: DataFrame, citations: Column,
     """Relevance of each member of a cluster: its citations against the cluster's most, difficulty, centrality."""
     rows = vectors.withColumn("cited", F.log1p(citations))
     most = rows.groupBy(by).agg(F.greatest(F.max("cited"), F.lit(1.0)).alias("most"))
-    joined = rows.join(F.broadcast(centers), by).join(F.broadcast(most), by)
+    joined = rows.join(centers, by).join(most, by)
     return joined.select("id", by, "vec", relevance(F.when(F.col("cited") > 0, F.col("cited") / F.col("most")), difficulty, cosine(F.col("vec"), F.col("centroid"))).alias("relevance"))
 
 

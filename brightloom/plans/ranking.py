@@ -77,8 +77,8 @@ def hero(spark, sf_dir):
 
 def citation_boosted(spark, sf_dir):
     items = _catalog(spark, sf_dir)
-    most = items.agg(F.max("size").alias("most"))
-    return items.join(F.broadcast(most)).select("id", F.round(citation_boost(F.col("score"), F.col("size"), F.col("most"), 0.2), 6).alias("score"))
+    most = items.agg(F.max("size")).scalar()
+    return items.select("id", F.round(citation_boost(F.col("score"), F.col("size"), most, 0.2), 6).alias("score"))
 
 
 def auc_rank_sum(spark, sf_dir):

@@ -104,7 +104,7 @@ def _bm25_sql(terms: dict[str, float], posts: str = "po") -> str:
     values = ", ".join(f"('{t}', {f})" for t, f in terms.items())
     return f"""le AS (SELECT id, sum(weight) AS length FROM {posts} GROUP BY 1), st AS (SELECT count(*) AS n, avg(length) AS mean FROM le), qt(term, f) AS (VALUES {values}),
     hi AS (SELECT p.*, f FROM {posts} p JOIN qt USING (term)), df AS (SELECT term, count(*) AS df FROM hi GROUP BY 1),
-    bm AS (SELECT id, sum(f * ln(1 + (n - df + 0.5) / (df + 0.5)) * weight * 2.2 / (weight + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM hi JOIN df USING (term) JOIN le USING (id), st GROUP BY 1)"""
+    bm AS (SELECT id, round(sum(f * ln(1 + (n - df + 0.5) / (df + 0.5)) * weight * 2.2 / (weight + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM hi JOIN df USING (term) JOIN le USING (id), st GROUP BY 1)"""
 
 
 _TEXT = "lower(concat_ws(' ', name, description, array_to_string(tags, ' '), authors))"
@@ -148,7 +148,7 @@ SQL = {
     "highlight": "SELECT doc_id, md5(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(panel data|panel|data)', '<mark>\\1</mark>', 'g')) AS digest FROM documents WHERE text IS NOT NULL AND text <> ''",
     "fuzzy_names": f"WITH {_IT}, d AS (SELECT id, name, round(list_min(list_transform({_TOK('name')}, lambda t: levenshtein(t, 'tranport') / greatest(length(t), 8))), 4) AS distance FROM it WHERE name IS NOT NULL) SELECT * FROM d WHERE distance <= 0.4",
     "search": f"""WITH {_IT.replace('it AS', 'it0 AS')}, it AS (SELECT * FROM it0 WHERE type = 'survey' AND NOT contains({_TEXT}, 'weekly')), {_POST}, {_bm25_sql(_WAGE)},
-        t AS (SELECT * FROM bm ORDER BY score DESC, id LIMIT 400) SELECT id, round(score * {_BOOST('wage survey', ['wage', 'survey'])}, 5) AS score FROM t JOIN it USING (id) ORDER BY score * {_BOOST('wage survey', ['wage', 'survey'])} DESC, id LIMIT 200""",
+        t AS (SELECT * FROM bm ORDER BY score DESC, id LIMIT 400) SELECT id, round(score * {_BOOST('wage survey', ['wage', 'survey'])}, 5) AS score FROM t JOIN it USING (id) ORDER BY round(score * {_BOOST('wage survey', ['wage', 'survey'])}, 9) DESC, id LIMIT 200""",
     "search_post": f"""WITH {_IT}, {_POST}, {_bm25_sql(_WAGE)}, t AS (SELECT * FROM bm ORDER BY score DESC, id LIMIT 50)
         SELECT id, round(score * {_BOOST('wage survey', ['wage', 'survey'])}, 5) AS score FROM t JOIN it USING (id) WHERE type = 'survey' LIMIT 200""",
 }
