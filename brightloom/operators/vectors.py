@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scores import relevance
 from ..functions.vectors import cosine, dot, literal, norm
+from ..session import work_dir
 
 BLOCK = 1024
 MAX_CENTERS = 20_000
@@ -57,28 +58,30 @@ def _best(matrix: np.ndarray, ids: np.ndarray, k: int, threshold: float):
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int, threshold: float) -> DataFrame:
     """``src, dst, score, rank``: the ``k`` nearest of each query by inner product (rounded to 3 digits), itself excluded.
 
-    The query set goes through in blocks of ``BLOCK`` vectors; a block is the only thing that is sent to all tasks.
+    The query set goes through in blocks of ``BLOCK`` vectors; a block is all that the driver holds and that is sent to
+    the tasks, and each block but the last is a job whose result is written. For all vectors of a large catalog against
+    each other take ``related_by_cells``.
     """
-    order = queries.select("id", "vec").orderBy("id")
-    blocks, out = [], None
-    rows = order.toLocalIterator(prefetchPartitions=True)
     w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
+    spark, schema = vectors.sparkSession, "src bigint, dst bigint, score double, rank int"
 
-    def flush(block):
+    def best(block: list[tuple]) -> DataFrame:
         ids = np.array([r[0] for r in block])
         matrix = np.array([r[1] for r in block], np.float64)
         found = vectors.select("id", "vec").mapInPandas(_best(matrix, ids, k, threshold), "src bigint, dst bigint, score double")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    for row in rows:
-        blocks.append((row[0], row[1]))
-        if len(blocks) == BLOCK:
-            found, blocks = flush(blocks), []
-            out = found if out is None else out.unionByName(found)
-    if blocks or out is None:
-        found = flush(blocks) if blocks else queries.sparkSession.createDataFrame([], "src bigint, dst bigint, score double, rank int")
-        out = found if out is None else out.unionByName(found)
-    return out
+    block, folder, blocks = [], work_dir(spark, "neighbours"), 0
+    for row in queries.select("id", "vec").orderBy("id").toLocalIterator(prefetchPartitions=True):
+        if len(block) == BLOCK:  # more are coming: this block is done by itself and written
+            best(block).write.parquet(f"{folder}/block={blocks}")
+            block, blocks = [], blocks + 1
+        block.append((row[0], row[1]))
+    last = best(block) if block else spark.createDataFrame([], schema)
+    if not blocks:
+        return last
+    written = spark.read.schema(schema).parquet(*[f"{folder}/block={i}" for i in range(blocks)])
+    return written.unionByName(last)
 
 
 def _cell_pairs(k: int, threshold: float):
