@@ -104,6 +104,12 @@ def stream_session_items(spark, sf_dir):
     return _collect(spark, I.session_items(ev), "items").groupBy("sid").agg(F.count(F.lit(1)).alias("items"), F.max("place").alias("last_place"), F.min("name").alias("first_name"))
 
 
+def stream_rage_clicks(spark, sf_dir):
+    """Alerts of three events of one kind within four hours, over the star schema's users."""
+    ev = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("sid"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_type").alias("element"))
+    return _collect(spark, I.rage_click_alerts(ev, span_ms=4 * 3_600_000), "rage")
+
+
 def stream_windows(spark, sf_dir):
     """Hourly counts of the star schema's events on a stream; a watermark longer than the data loses nothing."""
     ev = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type"))
@@ -142,6 +148,7 @@ QUERIES = {
     "stream_first_impressions": stream_first_impressions,
     "stream_rate_limit": stream_rate_limit,
     "stream_windows": stream_windows,
+    "stream_rage_clicks": stream_rage_clicks,
     "stream_session_items": stream_session_items,
 }
 

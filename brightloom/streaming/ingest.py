@@ -92,3 +92,26 @@ def session_items(events: DataFrame) -> DataFrame:
     """A session's items (``sid, name, at_ms, id``), each once, with its place in the session's sequence so far. The state
     holds a session's distinct items, as the reference's browser tab does."""
     return events.groupBy("sid").applyInPandasWithState(_accumulate, "sid string, name string, place int", "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def _rage(span_ms: int, least: int):
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        element, times = (state.get[0], list(state.get[1])) if state.exists else (None, [])
+        out = []
+        for at, ident, what in sorted((a, i, e) for pdf in pdfs for a, i, e in zip(pdf["at_ms"], pdf["id"], pdf["element"])):
+            if what != element:
+                element, times = what, []
+            times = [t for t in times if at - t < span_ms] + [at]
+            if len(times) >= least:
+                out.append((key[0], ident, what, len(times)))
+                times = []  # fired: counting starts anew
+        state.update((element, times))
+        yield pd.DataFrame(out, columns=["sid", "id", "element", "clicks"])
+
+    return step
+
+
+def rage_click_alerts(clicks: DataFrame, span_ms: int = 2000, least: int = 3) -> DataFrame:
+    """Alerts from a stream of clicks (``sid, id, at_ms, element``): ``least`` clicks on one element within the span. An
+    alert, or a click on something else, resets the count; the state holds at most ``least`` - 1 times of a session."""
+    return clicks.groupBy("sid").applyInPandasWithState(_rage(span_ms, least), "sid string, id bigint, element string, clicks int", "element string, times array<bigint>", "append", GroupStateTimeout.NoTimeout)

@@ -226,6 +226,19 @@ def test_feature_rows_match_brute_force(spark, tmp_path):
     }
 
 
+def test_rage_clicks_reset(spark, tmp_path):
+    from brightloom.streaming.ingest import rage_click_alerts
+
+    clicks = [("s", i, t, e) for i, (t, e) in enumerate([(0, "a"), (500, "a"), (900, "a"), (1000, "a"), (1100, "a"), (1200, "b"), (1300, "a"), (1400, "a"), (4000, "a"), (4100, "a"), (4200, "a")])]
+    schema = "sid string, id bigint, at_ms bigint, element string"
+    for n, part in enumerate((clicks[:4], clicks[4:], [("t", 99, 5, "a")])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in[0-9]")
+    query = rage_click_alerts(stream).writeStream.format("memory").queryName("alerts").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [tuple(r) for r in spark.table("alerts").orderBy("id").collect()] == [("s", 2, "a", 3), ("s", 10, "a", 3)]
+
+
 def test_entry_works_without_the_corpus_operators(monkeypatch):
     import sys
 
