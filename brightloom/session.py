@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,8 +39,29 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that their Python workers can import it
+    whatever their own path is."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="brightloom-code-"), "brightloom.zip")  # on the driver, which serves it
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(package):
+            for name in sorted(f for f in files if f.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.join("brightloom", os.path.relpath(path, package)))
+    context.addPyFile(archive)
+
+
 def work_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder below the shared one."""
+    ship(spark)
     return os.path.join(shared_dir(spark), f"brightloom-{what}-{uuid.uuid4().hex[:12]}")
 
 
@@ -52,6 +74,7 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table as a DataFrame."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
