@@ -10,8 +10,8 @@ the organisation that alone has that token, or those initials; where several hav
 *Persons*: candidates share a surname (or one within the bound) and the initial of a given name. Two rows are the same
 person if the given names agree (equal, a nickname, a typo or an initial), no attribute conflicts, and enough attributes
 agree for how alike the names are. Rows then form connected components; the pairs of a component that don't conflict are
-the result. Equal rows are compared once. Blocks above ``BLOCK`` distinct rows are split by further attributes, and at last
-linked as stars, so that no block is paired quadratically without bound.
+the result. Equal rows are compared once. All pairs of a block are compared unless their attributes conflict; a block of
+more than ``BLOCK`` distinct rows is cut into parts whose pairs are joined in different tasks.
 
 Defined cases: null and blank names have no links; a null attribute neither agrees nor conflicts; a name that consists of
 titles only is blank; repeated rows are linked like others; empty tables give no rows; further columns are ignored.
@@ -20,7 +20,6 @@ titles only is blank; repeated rows are linked like others; empty tables give no
 from __future__ import annotations
 
 import unicodedata
-from itertools import combinations
 
 import pandas as pd
 import regex
@@ -313,29 +312,21 @@ def _blocks(people: DataFrame, near: DataFrame) -> DataFrame:
     forms = F.create_map(*[F.lit(x) for k, v in NICKNAMES.items() for x in (k, v)])
     names = F.concat(F.array(F.col("given")), F.split(F.coalesce(forms[F.col("given")], F.lit("")), " "))
     letters = F.array_distinct(F.filter(F.transform(names, lambda n: F.substring(n, 1, 1)), lambda c: c != ""))
-    return keyed.select("id", "hub", F.explode(letters).alias("letter"), "inst", "org", *_EXACT).withColumn("key", F.concat_ws("|", "hub", "letter"))
+    return keyed.select("id", "hub", F.explode(letters).alias("letter"), *_EXACT).withColumn("key", F.concat_ws("|", "hub", "letter"))
 
 
 def _candidates(blocks: DataFrame) -> DataFrame:
-    """``u < v``: pairs of ids that share a block, each block of bounded size."""
-    attributes = ("inst", "org", "phd_year", "location", "phd_field", "current_title")
-    out = None
-    level = blocks
-    for depth in range(3):
-        sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low"))
-        small = level.join(sizes.where(f"members BETWEEN 2 AND {BLOCK}").select("key"), "key", "left_semi").select("key", "id")
-        pairs = small.select("key", F.col("id").alias("u")).join(small.select("key", F.col("id").alias("v")), "key").where("u < v").select("u", "v")
-        large = level.join(sizes.where(f"members > {BLOCK}").select("key", "low"), "key")
-        if depth == 2:
-            pairs = pairs.unionByName(large.where("id <> low").select(F.col("low").alias("u"), F.col("id").alias("v")))
-        else:
-            sets = [(c,) for c in attributes] if depth == 0 else list(combinations(attributes, 3))
-            finer = [F.when(F.forall(F.array(*[F.col(c).cast("string") for c in s]), lambda x: x.isNotNull()), F.concat_ws("|", "key", F.lit("+".join(s)), *[F.col(c).cast("string") for c in s])) for s in sets]
-            level = cut(large.select("id", *attributes, F.explode(F.array_compact(F.array(*finer))).alias("key")), "blocks")
-        out = pairs if out is None else out.unionByName(pairs)
-        if depth < 2 and level.isEmpty():
-            break
-    return out.distinct()
+    """``u < v``: all pairs of ids that share a block and no attribute of which conflicts. A block is cut into parts of about
+    ``BLOCK`` rows, and each pair of parts is joined by itself, so that a hot block is spread over the tasks."""
+    sizes = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    placed = blocks.join(sizes, "key").withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least("part", p).alias("low"), F.greatest("part", p).alias("high")))
+    spread = placed.select("key", "id", "part", *_EXACT, F.explode(cells).alias("cell")).select("key", "cell.low", "cell.high", "id", "part", *_EXACT)
+    a, b = (spread.select("key", "low", "high", F.col("id").alias(x), F.col("part").alias(f"part_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in _EXACT]) for x in "uv")
+    agree = F.lit(True)
+    for c in _EXACT:  # same_person refuses any other pair
+        agree = agree & F.coalesce(F.col(f"{c}_u") == F.col(f"{c}_v"), F.lit(True))
+    return a.join(b, ["key", "low", "high"]).where("u < v AND (low = high OR part_u <> part_v)").where(agree).select("u", "v").distinct()
 
 
 def persons(sheet: DataFrame, spelled: DataFrame, id_col: str = "sheet_id") -> DataFrame:

@@ -57,6 +57,13 @@ def test_large_blocks_lose_no_link(spark, monkeypatch):
     assert one == together
 
 
+def test_large_blocks_lose_no_near_attribute(spark, monkeypatch):
+    monkeypatch.setattr(names, "BLOCK", 4)
+    fillers = [(f"b{i:02}", f"{g} Tavelund", None, None, None, None, None, None, None) for i, g in enumerate(("Rita", "Ruth", "Ralf", "Rene", "Remo", "Rafael"))]
+    near = [("c1", "Rosa Tavelund", None, "Norenneborough", None, None, None, None, None), ("c2", "Rosa Tavelund", None, "Norenebrough", None, None, None, None, None)]
+    assert ("c1", "c2") in pairs(spark, people(spark, [*fillers, *near]))
+
+
 COMPANIES = {
     "orwyck": ["Orwyck Labs", "ORWYCK LABS", "orwyck-labs", "OrwyckLabs", "Orwyck Laboratories", "Labs Orwyck", "The Orwyck Labs Company", "Orwyck Labs GmbH", "Orwyck Labs G.m.b.H.", "Orwyck Labs (Norenne office)", "Orwick Labs", "Orwyck", "Orwyck Ltd."],
     "bank": ["Central Bank of Norenne", "Norenne, Central Bank of", "Central Bank Norenne", "C. Bank of Norenne", "Central Bank of Norenne, Dept. of Economics", "Central Bnk of Norenne"],
