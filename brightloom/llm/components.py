@@ -22,11 +22,12 @@ def _round(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """``id, component`` for every end of an edge (columns ``u``, ``v``); a component is named by its smallest id. Self-links and repeats do no harm; a node that has only a self-link isn't listed."""
-    current = cut(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
+def components(edges: DataFrame) -> DataFrame:
+    """``id, component`` for every end of an edge (columns ``u``, ``v``); a component is named by its smallest id. Self-links and
+    repeats do no harm; a node that has only a self-link isn't listed. Rounds go on until nothing changes (their number grows
+    with the logarithm of the longest chain)."""
+    current, seen = cut(edges.select("u", "v").where("u <> v").distinct(), "edges"), None
+    while True:
         current = cut(_round(_round(current, True), False), "edges")
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
