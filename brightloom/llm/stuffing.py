@@ -9,6 +9,10 @@ The whole text becomes one sequence of tokens. For each word the operator looks
 - the share of *function words* of the corpus's languages, articles apart (lists of distinct nouns have none).
 
 A word is stuffing if its window recurs unnaturally, or has hardly any function words outside figures and code.
+The lists of function words know a few languages only. A text that has almost none of them but is built of sentences
+(letters between full stops of any script in a usual number) is of another language: there words of up to ``SHORT_WORD``
+letters count as function words, and only recurrence speaks against it, never the lack of function words.
+A line is code by the density of its signs, with a call or a back quote among them, not by their number.
 Links, link texts' urls and hash tags are stuffing by themselves. A document is flagged when stuffing makes up more
 than ``share`` of its characters in tokens. Everything is vectorised over a batch of documents; nothing is truncated.
 
@@ -50,6 +54,11 @@ LAG = 40
 HALF_WINDOW = 12
 HALF_WIDE = 40
 LEAST_WORDS = 8
+SHORT_WORD = 3
+UNKNOWN = 0.06
+SENTENCE_LETTERS = (15, 600)
+_STOP = regex.compile(r"[\p{L}\p{M}\p{N}\"'”»)\]](?:[.!?…։؟۔።]+(?=\s|$)|[。！？।॥]+)")
+_LETTER = regex.compile(r"[\p{L}\p{M}]")
 _TOKEN = regex.compile(r"https?://[^\s\"'<>)\]]+|www\.[^\s\"'<>)\]]+|(?:#|(?<!\S)\+|(?<!\S)tag:)[\p{L}_][\p{L}\p{N}_]+|</?(?!a\b)[a-z][^<>]{0,200}>|\n|&[a-z#0-9]+;|[\p{L}\p{M}]+|\p{N}[\p{N}.,:%]*|=|(?<=\p{L})\(|`")
 _NEWLINE, _WORD, _FUNCTION, _NUMBER, _LINK, _SIGN, _MARKUP, _ARTICLE = range(8)
 
@@ -69,6 +78,13 @@ def _kind(token: str) -> int:
     return _NUMBER
 
 
+def _is_sentences(text: str) -> bool:
+    """Whether a text of an unknown language is made of sentences; links don't count."""
+    bare = regex.sub(r"\S*(?:://|www\.)\S*", " ", text)
+    stops, letters = len(_STOP.findall(bare)), len(_LETTER.findall(bare))
+    return stops > 0 and SENTENCE_LETTERS[0] <= letters / stops <= SENTENCE_LETTERS[1]
+
+
 def _window_sum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values)])
     return total[high] - total[low]
@@ -101,17 +117,28 @@ def stuffing_share(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.
     share, recurrence, regularity = np.zeros(n), np.zeros(n), np.zeros(n)
     if not sum(lengths):
         return share, recurrence, regularity
+    codes["="]
     token = np.concatenate(parts)
     doc = np.repeat(np.arange(n), lengths)
     kind, size = np.array(codes.kinds)[token], np.array(codes.sizes, float)[token]
 
+    # texts of other languages
+    by_doc = lambda mask: np.bincount(doc, mask, n)
+    known, spoken = by_doc((kind == _FUNCTION) | (kind == _ARTICLE)), by_doc((kind == _WORD) | (kind == _FUNCTION) | (kind == _ARTICLE))
+    foreign = np.zeros(n, bool)
+    for i in np.flatnonzero((spoken >= LEAST_WORDS) & (known < UNKNOWN * spoken)):
+        foreign[i] = _is_sentences(texts[i])
+    if foreign.any():
+        kind[foreign[doc] & (kind == _WORD) & (size <= SHORT_WORD)] = _FUNCTION
+
     # figures and code, by line
     first = np.concatenate([[True], doc[1:] != doc[:-1]])
     line = np.cumsum((kind == _NEWLINE) | first) - 1
     per_line = lambda mask: np.bincount(line, mask, line[-1] + 1)
     numbers, words, links = per_line(kind == _NUMBER), per_line((kind == _WORD) | (kind == _FUNCTION) | (kind == _ARTICLE)), per_line(kind == _LINK)
     signs, functions = per_line(kind == _SIGN), per_line(kind == _FUNCTION)
-    plain = (links == 0) & (((numbers >= 2) & (numbers >= words)) | ((signs >= 2) & (functions <= 0.2 * words)))
+    calls = per_line((kind == _SIGN) & (token != codes["="]))
+    plain = (links == 0) & (((numbers >= 2) & (numbers >= words)) | ((signs >= 2) & (signs >= 0.15 * words) & (calls >= 1) & (functions <= 0.2 * words)))
     plain_token = plain[line]
 
     # the sequence of words
@@ -146,10 +173,10 @@ def stuffing_share(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.
         r_wide = _window_sum(near & content, far_low, far_high) / np.maximum(_window_sum(content, far_low, far_high), 1)
         figure = _window_sum(plain_token[at], low, high) > 0.5 * n_window
         a_share = 1 - n_content / n_window
-        regular = ((r_share >= 0.75) & (r_wide >= 0.58)) | ((r_share >= 0.6) & (best >= 0.3) & (r_wide >= 0.5)) | ((r_share >= 0.4) & (f_share < 0.07))
+        regular = ((r_share >= 0.75) & (r_wide >= 0.58)) | ((r_share >= 0.6) & (best >= 0.3) & (r_wide >= 0.5)) | ((r_share >= 0.4) & (f_share < 0.07) & ~foreign[d])
         regular |= (r_wide >= 0.62) & (r_share >= 0.5)
         listed = (a_share < 0.08) | ((f_wide < 0.045) & (f_share < 0.1) & (r_wide >= 0.25) & (far_high - far_low >= 12))
-        listed &= (ends - starts)[d] >= LEAST_WORDS
+        listed &= ((ends - starts)[d] >= LEAST_WORDS) & ~foreign[d]
         stuffed[at] = (regular | listed) & ~figure & ~plain_token[at]
         count = np.maximum(np.bincount(d, minlength=n), 1)
         recurrence, regularity = np.bincount(d, r_share, n) / count, np.bincount(d, best, n) / count

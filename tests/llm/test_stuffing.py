@@ -24,6 +24,29 @@ GOOD = {
     "short": "Hi",
 }
 
+LANGUAGES = {
+    "russian": "В прошлом году мы впервые посчитали, сколько людей пользуется новой линией трамвая. Оказалось, что утром вагоны почти пусты, а вечером в них трудно войти. Никто не ожидал такой разницы, и поэтому расписание решили изменить только осенью, когда вернутся студенты.",
+    "polish": "W zeszłym roku po raz pierwszy policzyliśmy, ile osób korzysta z nowej linii tramwajowej. Okazało się, że rano wagony są prawie puste, a wieczorem trudno do nich wejść. Nikt nie spodziewał się takiej różnicy, dlatego rozkład zmieniono dopiero jesienią.",
+    "swedish": "Förra året räknade vi för första gången hur många som åker med den nya linjen. Det visade sig att vagnarna är nästan tomma på morgonen, medan det är svårt att komma in på kvällen. Ingen hade väntat sig en sådan skillnad, och därför ändrades tidtabellen först på hösten.",
+    "turkish": "Geçen yıl yeni tramvay hattını kaç kişinin kullandığını ilk kez saydık. Sabahları vagonların neredeyse boş olduğu, akşamları ise binmenin zor olduğu ortaya çıktı. Kimse böyle bir fark beklemiyordu, bu yüzden tarife ancak öğrenciler döndükten sonra değiştirildi.",
+    "portuguese": "No ano passado contámos pela primeira vez quantas pessoas usam a nova linha. Verificou-se que de manhã as carruagens vão quase vazias, enquanto à noite é difícil entrar. Ninguém esperava tal diferença, e por isso o horário só mudou no outono, quando os estudantes voltaram.",
+    "japanese": "昨年、私たちは新しい路線を何人が利用しているかを初めて数えた。朝の車両はほとんど空いているが、夕方は乗るのも難しいことが分かった。誰もそのような差を予想していなかったので、時刻表は秋になってから、学生が戻った後に変更された。駅の職員もこの結果に驚き、来年も同じ調査を続けると話している。",
+}
+
+
+@pytest.mark.parametrize("name", LANGUAGES)
+def test_prose_of_other_languages_is_left_and_their_spam_found(name):
+    assert stuffing.stuffing_share([PROSE, LANGUAGES[name]])[0][1] <= 0.5
+    words = [w for w in stuffing.regex.findall(r"\p{L}+", LANGUAGES[name]) if len(w) > 4][:3]
+    spam = ", ".join(f"{words[i % 3]} {words[(i + i // 3) % 3]}" for i in range(60))
+    assert stuffing.stuffing_share([spam])[0][0] > 0.5
+
+
+def test_one_long_line_with_two_signs_is_no_code():
+    labels = " ".join(f"shoes{chr(97 + i % 26)} boots{chr(97 + i % 7)} sandals" for i in range(400))
+    assert stuffing.stuffing_share([labels + " shoes(men) size=xl"])[0][0] > 0.5
+    assert stuffing.stuffing_share([" ".join("color=red size=m brand=orwyck" for _ in range(40))])[0][0] > 0.5
+
 
 @pytest.mark.parametrize("name", SPAM)
 def test_stuffing_is_found(name):
