@@ -55,7 +55,7 @@ HALF_WINDOW = 12
 HALF_WIDE = 40
 LEAST_WORDS = 8
 SHORT_WORD = 3
-UNKNOWN = 0.06
+UNKNOWN = 0.14
 SENTENCE_LETTERS = (15, 600)
 _STOP = regex.compile(r"[\p{L}\p{M}\p{N}\"'”»)\]](?:[.!?…։؟۔።]+(?=\s|$)|[。！？।॥]+)")
 _LETTER = regex.compile(r"[\p{L}\p{M}]")
