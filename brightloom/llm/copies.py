@@ -3,7 +3,8 @@
 1. Byte-identical (name, url) variants are pre-aggregated with a map-side combine, so a record entered millions of
    times the same way is one row from here on.
 2. Variants are grouped by cheap JVM-side invariants: the stripped lengths and letter histograms of name and url, over
-   letters without accents (equal for composed and decomposed forms). Only classes with several members go on.
+   Latin, Cyrillic and Han letters without accents (equal for composed and decomposed forms). They are computed once,
+   into a written table. Only classes with several members go on.
 3. The costly exact key (Unicode normalisation, case folding, word order, url parts) is computed for those alone, and
    the classes are split by it.
 
@@ -23,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _INNER = regex.compile(r"[­’ʼ'`´]")
 _BLANK = regex.compile(r"[\s\p{Z}\p{C}]+")
@@ -41,9 +44,9 @@ def _fold_table() -> tuple[str, str]:
 
 
 def _letters(text: Column, source: str, target: str) -> Column:
-    """ASCII letters and digits of ``text`` without case and accents."""
+    """ASCII, Cyrillic and Han letters and ASCII digits of ``text`` without case and accents."""
     folded = F.upper(F.translate(F.lower(text), source, target))  # upper case last, as it writes ß as SS
-    return F.regexp_replace(folded, "[^A-Z0-9]+", "")
+    return F.regexp_replace(folded, "[^A-Z0-9\\p{IsCyrillic}\\p{IsHan}]+", "")
 
 
 def cheap_invariant(name: Column, url: Column) -> Column:
@@ -84,7 +87,7 @@ def _exact_key():
 def classes(records: DataFrame, id_col: str = "record_id", name_col: str = "name", url_col: str = "url") -> DataFrame:
     """One row per distinct (name, url) spelling: ``name, url, keep_id, copies`` of the record it belongs to, and ``rows`` of the spelling."""
     variants = records.select(F.col(id_col).alias("rid"), F.col(name_col).alias("name"), F.col(url_col).alias("url")).groupBy("name", "url").agg(F.min("rid").alias("first_id"), F.count(F.lit(1)).alias("rows"))
-    cheap = variants.withColumn("h", cheap_invariant(F.col("name"), F.col("url")))
+    cheap = cut(variants.withColumn("h", cheap_invariant(F.col("name"), F.col("url"))), "cheap")
     sizes = cheap.groupBy("h").agg(F.count(F.lit(1)).alias("members"))
     several = cheap.join(sizes.where("members > 1").select("h"), "h", "left_semi")
     alone = cheap.join(sizes.where("members = 1").select("h"), "h", "left_semi")
@@ -106,5 +109,3 @@ def unique_records(records: DataFrame, id_col: str = "record_id", name_col: str
     """One row per record: ``record_id`` of its first copy, its name and url there, and the number of copies."""
     spelled = classes(records, id_col, name_col, url_col)
     return spelled.where("first_id = keep_id").select(F.col("keep_id").alias("record_id"), "name", "url", "copies")
-
-
