@@ -10,7 +10,9 @@
    hash, then the second ones, and so on. Ranks are limited to the subset's size before the shuffle, so a hot
    combination sends no more than that from a task.
 
-The driver sees one row per combination: categories times at most ``MAX_TAGS`` + 64 tags (rarer tags share 64 names).
+The driver sees one row per combination, of each category at most as many tags as the largest subset has records. No more
+can matter: were a unit to run through a tag beyond those, one of the category's kept tags would be unused, as fewer
+other units than that exist, and would cost no more. Targets count all tags.
 
 Defined cases: null or blank category and tags are a category and a tag of their own, "(none)"; spellings of them are
 compared without case, dashes and outer blanks; if there are fewer records than asked for, all are chosen; repeated
@@ -27,41 +29,43 @@ from pyspark.sql.window import Window
 from ..session import cut
 from .copies import unique_records
 
-MAX_TAGS = 2000
 
-
-def quotas(counts: dict[tuple[str, str], int], size: int) -> dict[tuple[str, str], int]:
-    """How many records to take of each (category, tag), by successive shortest paths."""
+def quotas(counts: dict[tuple[str, str], int], size: int, tags_in_all: int | None = None) -> dict[tuple[str, str], int]:
+    """How many records to take of each (category, tag), by successive shortest paths. ``tags_in_all`` is the number of tags
+    of the corpus where ``counts`` lists fewer."""
     categories, tags = (sorted({key[i] for key in counts}) for i in (0, 1))
     ci, ti = ({k: i for i, k in enumerate(names)} for names in (categories, tags))
-    room = np.zeros((len(categories), len(tags)), np.int64)
+    room = np.zeros((len(categories), len(tags)), np.int32)
     for (c, t), n in counts.items():
         room[ci[c], ti[t]] = min(n, size)
     flow = np.zeros_like(room)
     used_c, used_t = np.zeros(len(categories)), np.zeros(len(tags))
-    target_c, target_t = size / max(1, len(categories)), size / max(1, len(tags))
+    target_c, target_t = size / max(1, len(categories)), size / max(1, tags_in_all or len(tags))
     for _ in range(min(size, int(sum(counts.values())))):
         cost_c, cost_t = (used_c + 0.5) / target_c, (used_t + 0.5) / target_t
         seen_c, seen_t = np.zeros(len(categories), bool), np.zeros(len(tags), bool)
         from_c, from_t = np.full(len(tags), -1), np.full(len(categories), -1)
-        best, end = np.inf, -1
-        open_cost = cost_t.min()
+        best, end, least = np.inf, -1, cost_t.min()
         for root in np.argsort(cost_c, kind="stable"):
-            if cost_c[root] + open_cost >= best - 1e-12:
+            if cost_c[root] + least >= best - 1e-12:
                 break
             if seen_c[root]:
                 continue
             seen_c[root], queue = True, [root]
-            while queue:
+            while queue and best > cost_c[root] + least + 1e-12:  # no path of this root is shorter than that
                 c = queue.pop()
-                reached = (flow[c] < room[c]) & ~seen_t
-                for t in np.flatnonzero(reached):
-                    seen_t[t], from_c[t] = True, c
-                    if cost_c[root] + cost_t[t] < best - 1e-12:
-                        best, end = cost_c[root] + cost_t[t], t
-                    for other in np.flatnonzero((flow[:, t] > 0) & ~seen_c):
-                        seen_c[other], from_t[other] = True, t
-                        queue.append(other)
+                new = np.flatnonzero((flow[c] < room[c]) & ~seen_t)
+                if not len(new):
+                    continue
+                seen_t[new], from_c[new] = True, c
+                t = new[np.argmin(cost_t[new])]
+                if cost_c[root] + cost_t[t] < best - 1e-12:
+                    best, end = cost_c[root] + cost_t[t], t
+                busy = new[used_t[new] > 0]
+                through = flow[:, busy] > 0
+                for other in np.flatnonzero(through.any(1) & ~seen_c):
+                    seen_c[other], from_t[other] = True, busy[np.argmax(through[other])]
+                    queue.append(other)
         if end < 0:
             break
         used_t[end] += 1
@@ -91,14 +95,12 @@ def varied_subsets(records: DataFrame, sizes: list[int], id_col: str = "record_i
     frequency = once.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
     lead = once.select("id", F.explode("tags").alias("tag")).join(frequency, "tag").groupBy("id").agg(F.min(F.struct("n", "tag"))["tag"].alias("lead_tag"))
     placed = once.join(lead, "id")
-    leads = placed.groupBy("lead_tag").agg(F.count(F.lit(1)).alias("n"))
-    if leads.count() > MAX_TAGS:
-        common = leads.orderBy(F.desc("n"), "lead_tag").limit(MAX_TAGS).select("lead_tag", F.lit(True).alias("common"))
-        rare = F.concat(F.lit("(rare "), F.pmod(F.xxhash64("lead_tag"), F.lit(64)).cast("string"), F.lit(")"))
-        placed = placed.join(F.broadcast(common), "lead_tag", "left").withColumn("lead_tag", F.when(F.col("common"), F.col("lead_tag")).otherwise(rare)).drop("common")
     placed = cut(placed.withColumn("place", F.xxhash64(F.lit(seed), "id")), "placed")
-    counts = {(r[0], r[1]): r[2] for r in placed.groupBy("category", "lead_tag").count().collect()}
-    wanted = [(k, c, t, n) for k in sizes for (c, t), n in quotas(counts, k).items()]
+    combinations = cut(placed.groupBy("category", "lead_tag").agg(F.count(F.lit(1)).alias("n")), "combinations")
+    tags_in_all = combinations.select("lead_tag").distinct().count()
+    some = combinations.withColumn("k", F.row_number().over(Window.partitionBy("category").orderBy(F.xxhash64("lead_tag"), "lead_tag"))).where(F.col("k") <= largest)
+    counts = {(r[0], r[1]): r[2] for r in some.select("category", "lead_tag", "n").collect()}  # at most `largest` of a category
+    wanted = [(k, c, t, n) for k in sizes for (c, t), n in quotas(counts, k, tags_in_all).items()]
     again = Window.partitionBy("category", "lead_tag", "tags").orderBy("place", "id")
     within = Window.partitionBy("category", "lead_tag").orderBy("again", "place", "id")
     ranked = placed.withColumn("again", F.row_number().over(again)).where(F.col("again") <= largest)

@@ -23,6 +23,24 @@ def test_quotas_are_optimal():
         assert abs(cost(found, size, "abc", "xyz") - best) < 1e-9
 
 
+def test_pruned_tags_leave_the_optimum(spark):
+    counts = {(c, f"t{i}"): 1 + i % 2 for c in "abc" for i in range(ord(c) - 96, 40, ord(c) - 96)}
+    size = 6
+    kept = {k: n for c in "abc" for k, n in sorted((k, n) for k, n in counts.items() if k[0] == c)[:size]}
+    tags = {t for _, t in counts}
+    whole, part = variety.quotas(counts, size), variety.quotas(kept, size, len(tags))
+    assert abs(cost(whole, size, "abc", tags) - cost(part, size, "abc", tags)) < 1e-9
+
+
+def test_many_combinations_are_quick():
+    from time import time
+
+    counts = {(f"c{c}", f"t{t}"): 1 + (c * t) % 5 for c in range(100) for t in range(2000) if (c + t) % 3 == 0}
+    began = time()
+    assert sum(variety.quotas(counts, 1500).values()) == 1500
+    assert time() - began < 60
+
+
 def records(spark, rows):
     return spark.createDataFrame([(i, n, f"http://x.example/{n}", c, t, 1, 2, 3, 4) for i, (n, c, t) in enumerate(rows, 1)], SCHEMA)
 
