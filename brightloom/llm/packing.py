@@ -3,7 +3,9 @@
 Items are spread over buckets by a hash of their id (about ``ROWS_PER_BUCKET`` each, so the number of tasks follows the
 data) and packed in order of id. A bucket keeps at most ``OPEN`` windows: an item goes to the fullest window that has
 room; if none has, the fullest is emitted and a new one opened. The windows still open at the end of each bucket are
-merged as wholes, ``FAN_IN`` buckets at a time, best fit in decreasing order, level by level, until one group is left.
+merged as wholes, ``FAN_IN`` buckets at a time, best fit in decreasing order, level by level, until one group is left. A
+level emits what the smallest window left can't join and, but for the ``OPEN`` emptiest, the rest, so a group never holds
+more than ``FAN_IN`` x ``OPEN`` windows, whatever the size of the corpus.
 The result depends on the ids and sizes only, not on the cluster, so a task that is run again repeats its answer.
 
 Defined cases: an item without id, and one without size (null or empty text), needs no container and is left out; an item above the
@@ -93,7 +95,10 @@ def _merge_group(capacities: dict[str, int]):
             used[head] += size
             insort(room, (left - size, head))
             out.append((name, head))
-        return pd.DataFrame({"profile": key[0], "container": [n for n, _ in out], "head": [heads[h] for _, h in out], "used": [used[h] for _, h in out]})
+        least = min(used)  # at most one window is not more than half full, so little can still be joined
+        fitting = sorted((u, h) for h, u in enumerate(used) if u + (least if u > least else 0) <= capacity and u < capacity)[:OPEN]
+        still = {h for _, h in fitting}
+        return pd.DataFrame({"profile": key[0], "container": [n for n, _ in out], "head": [heads[h] for _, h in out], "used": [used[h] for _, h in out], "open": [h in still for _, h in out]})
 
     return run
 
@@ -104,7 +109,7 @@ def pack(items: DataFrame, profiles: list[tuple[str, int]], id_col: str = "id",
     kind = sized.schema["id"].dataType.simpleString()
     buckets = max(1, ceil(sized.count() / ROWS_PER_BUCKET))
     spread = sized.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-    spread = spread.repartition(buckets, "bucket").sortWithinPartitions("bucket", "id", "n_tokens")
+    spread = spread.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "id", "n_tokens")
     packed = cut(spread.mapInPandas(_pack_buckets(profiles), f"profile string, container string, id {kind}, piece int, n_tokens bigint"), "packed")
     placed = packed.where("piece >= 0")
     heads = packed.where("piece < 0").select("profile", "container", F.col("n_tokens").alias("used"), F.split("container", "-")[0].cast("int").alias("grp"))
@@ -118,9 +123,9 @@ def pack(items: DataFrame, profiles: list[tuple[str, int]], id_col: str = "id",
             groups.append(left)
     for left in groups:
         step = heads.withColumn("grp", (F.col("grp") / FAN_IN).cast("int")).groupBy("profile", "grp")
-        moved = cut(step.applyInPandas(_merge_group(dict(profiles)), "profile string, container string, head string, used bigint"), "merged")
-        merged = merged.join(moved.select("profile", F.col("container").alias("head"), F.col("head").alias("new")), ["profile", "head"]).select("profile", "container", F.col("new").alias("head"))
-        heads = moved.groupBy("profile", F.col("head").alias("container")).agg(F.max("used").alias("used")).withColumn("grp", (F.split("container", "-")[0].cast("int") / FAN_IN).cast("int"))
+        moved = cut(step.applyInPandas(_merge_group(dict(profiles)), "profile string, container string, head string, used bigint, open boolean"), "merged")
+        merged = merged.join(moved.select("profile", F.col("container").alias("head"), F.col("head").alias("new")), ["profile", "head"], "left").select("profile", "container", F.coalesce("new", "head").alias("head"))
+        heads = moved.where("open").groupBy("profile", F.col("head").alias("container")).agg(F.max("used").alias("used")).withColumn("grp", (F.split("container", "-")[0].cast("int") / FAN_IN).cast("int"))
     return placed.join(merged, ["profile", "container"], "left").select("profile", F.coalesce("head", "container").alias("container"), "id", "piece", "n_tokens")
 
 
