@@ -4,7 +4,9 @@
    thing the driver sees.
 2. Every source gets a budget of tokens. As many whole passes as fit are taken of all its documents; the rest of the
    budget is filled proportionally over the lengths, and what then remains by a bounded-knapsack dynamic programme
-   over bit sets, which finds the exact sum or the nearest below.
+   over bit sets, which finds the exact sum or the nearest below. Its bit sets are as long as a few of the source's
+   longest texts (in tokens), one for each length and power of two: some hundred kilobytes each for a text of a million
+   tokens.
 3. Of each (source, length) the needed number of documents is chosen by a seeded hash. Groups above ``HOT`` documents
    are ranked in hash ranges of about that size, so none is sorted in one task.
 
@@ -84,7 +86,16 @@ def fill(counts: dict[int, int], goal: int) -> dict[int, int]:
         k = min(counts[n] - taken[n], max(1, (rest - bound) // n))
         taken[n] += k
         rest -= k * n
-    for n, c in knapsack({n: counts[n] - taken[n] for n in counts if taken[n] < counts[n]}, rest).items():
+    left = lambda: {n: counts[n] - taken[n] for n in counts if taken[n] < counts[n]}
+    extra = knapsack(left(), rest)
+    if sum(n * c for n, c in extra.items()) < rest:  # not exact: give back some and choose again
+        limit = max(bound, min(16 * bound, 1 << 22))
+        for n in sorted(taken, reverse=True):
+            k = min(taken[n], max(0, (limit - rest) // n))
+            taken[n] -= k
+            rest += k * n
+        extra = knapsack(left(), rest)
+    for n, c in extra.items():
         taken[n] += c
     return {n: c for n, c in taken.items() if c}
 

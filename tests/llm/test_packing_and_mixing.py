@@ -58,12 +58,17 @@ def test_knapsack_and_fill(counts, goal):
     best = max(r for r in reach if r <= goal)
     for got in (mixing.knapsack(counts, goal), mixing.fill(counts, goal)):
         assert all(0 < c <= counts[n] for n, c in got.items())
-        total = sum(n * c for n, c in got.items())
-        assert total <= goal
-        if got is not None and max(counts) * 2 >= goal:
-            assert total == best or got == mixing.fill(counts, goal)
-    knap = mixing.knapsack(counts, goal)
-    assert sum(n * c for n, c in knap.items()) == best
+        assert sum(n * c for n, c in got.items()) == best
+
+
+def test_leftovers_that_never_merge_stay_bounded(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(packing, "OPEN", 8)
+    pdf = pd.DataFrame({"profile": "p", "container": [f"{i:05}-0" for i in range(5000)], "used": [55 + i % 5 for i in range(5000)]})
+    got = packing._merge_group({"p": 100})(("p", 0), pdf)
+    assert len(got) == 5000 and set(got["container"]) == set(pdf["container"])
+    assert got.loc[got["open"], "head"].nunique() <= 8
 
 
 @pytest.mark.parametrize("hot", [10, 1_000_000])
