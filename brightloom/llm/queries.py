@@ -47,7 +47,7 @@ def p6_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each subset and of all records: categories and lead tags covered, and the share of the largest category."""
+    """Of each subset: records, categories and lead tags covered, and the share of the largest category."""
     chosen = p6_subset(spark, sf_dir)
     by = chosen.groupBy("size", "category").agg(F.count(F.lit(1)).alias("n"))
     top = by.groupBy("size").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("categories"), (F.max("n") / F.sum("n")).alias("largest_share"))
