@@ -6,18 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slug_a
-from ..session import table, work_dir
+from ..session import work_dir
 from ..streaming.features import EntityFeatures, message_hashes
 from ..streaming.late import LateEventAggregator
 
 
+def _stream(spark: SparkSession, sf_dir: str, name: str, files: int) -> DataFrame:
+    """A table as a stream of ``files`` files a batch; a pattern may be one file, a plain path must be a folder."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[t]")
+
+
 def _late(spark: SparkSession, sf_dir: str) -> LateEventAggregator:
     measures = {
         "n": F.count(F.lit(1)),
         "n_after_hour": F.count_if(F.col("arrived") >= F.timestamp_millis(F.col("hour_ms") + F.lit(3_600_000))),
     }
     operator = LateEventAggregator(spark, work_dir(spark, "late"), measures=measures)
-    return operator.replay(table(spark, sf_dir, "analytics_events"))
+    operator.stream(_stream(spark, sf_dir, "analytics_events", 16), f"{operator.path}/checkpoint")
+    return operator
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +37,7 @@ def p4_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = _late(spark, sf_dir).hours()
     return hours.select(F.date_format(F.timestamp_millis("hour_ms"), "yyyy-MM-dd HH:00").alias("hour"), "n", "n_after_hour")
 
+
 # ---- p3
 EVENT_COLS = ("type", "session_id", "path", "timestamp", "country", "data")
 DWELL_COLS = ("session_id", "name", "section", "dwell_ms", "viewable_seconds", "reading_ratio", "timestamp")
@@ -59,8 +67,7 @@ def dwell_messages(dwell: DataFrame) -> DataFrame:
 
 def item_features(spark: SparkSession, sf_dir: str, files_per_batch: int = 16) -> DataFrame:
     """Run the stream over both tables and return the feature rows."""
-    paths = {t: f"{sf_dir}/{t}.parquet" for t in ("analytics_events", "content_dwell")}
-    streams = {t: spark.readStream.schema(spark.read.parquet(p).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{p[:-1]}[t]") for t, p in paths.items()}  # a pattern may be one file, a plain path must be a folder
+    streams = {t: _stream(spark, sf_dir, t, files_per_batch) for t in ("analytics_events", "content_dwell")}
     operator = EntityFeatures(spark, work_dir(spark, "features"))
     operator.stream(event_messages(streams["analytics_events"]).unionByName(dwell_messages(streams["content_dwell"])), f"{operator.path}/checkpoint")
     return operator.features(slug_a)

@@ -2,7 +2,8 @@
 
 Each batch is appended to a retained log that is partitioned by (late, day of the event). The days that the batch
 touched are then recomputed entirely from the retained log, and their aggregates are replaced in one atomic commit
-(``PartitionStore``). A record that arrives ``cutoff_hours`` or more after the end of its hour is kept in the log's
+(``PartitionStore``). A manifest beside the log tells which batches wrote which days, so a batch lists its own folder only,
+and an operator that is started again knows the log's columns. A record that arrives ``cutoff_hours`` or more after the end of its hour is kept in the log's
 ``late`` part, which never enters an aggregate: that part is the ledger of rejected records.
 
 Defined cases: a null arrival can't be judged and counts as in time; a null event time has no period, so the row is
@@ -12,12 +13,12 @@ the input other than those named are ignored, whatever they are called. Re-sent
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import fs_of
-from .store import PartitionStore
+from .store import PartitionStore, publish_json, read_json
 
 HOUR_MS = 3_600_000
 
@@ -34,7 +35,6 @@ class LateEventAggregator:
         self.cols = (id_col, event_ms_col, arrived_col)
         self.keep, self.cutoff_hours = tuple(keep), cutoff_hours
         self.measures = measures or {"n": F.count(F.lit(1))}
-        self.kept_schema = None
 
     def _shape(self, df: DataFrame) -> DataFrame:
         ident, event, arrived = self.cols
@@ -48,26 +48,33 @@ class LateEventAggregator:
             .withColumn("day", F.date_format(F.timestamp_millis("hour_ms"), "yyyy-MM-dd"))
         )
 
-    def _log_manifest(self) -> dict:
-        fs, path = fs_of(self.spark, f"{self.path}/log")
-        out: dict = {"days": {}, "late": []}
-        if not fs.exists(path):
-            return out
-        for batch in fs.listStatus(path):
-            _, done = fs_of(self.spark, f"{batch.getPath().toString()}/_SUCCESS")
-            if not fs.exists(done):
-                continue  # a write that never ended
-            for part in fs.listStatus(batch.getPath()):
-                name = part.getPath().getName()
-                for day in fs.listStatus(part.getPath()) if name.startswith("late=") else []:
-                    if name == "late=true":
-                        out["late"].append(day.getPath().toString())
-                    else:
-                        out["days"].setdefault(day.getPath().getName()[4:], []).append((batch.getPath().getName(), day.getPath().toString()))
-        return out
-
-    def _store(self) -> PartitionStore:
-        sample = self.spark.createDataFrame([], self.kept_schema)
+    def _log(self) -> dict:
+        """``batch`` (the last one written), ``days`` (numbers of the batches by day), ``late`` (those with late records), ``schema``."""
+        return read_json(self.spark, f"{self.path}/log/manifest.json") or {"batch": -1, "days": {}, "late": [], "schema": None}
+
+    def _schema(self, log: dict) -> T.StructType:
+        if log["schema"]:
+            return T.StructType.fromJson(log["schema"])
+        return T.StructType.fromDDL(", ".join(["id bigint", "event_ms bigint", "arrived timestamp", *[f"`{c}` string" for c in self.keep], "hour_ms bigint"]))
+
+    def _append(self, rows: DataFrame, batch_id: int) -> tuple[dict, list[str]]:
+        """Write a batch to the log; the log's manifest and the days that the batch touched."""
+        folder, log = f"{self.path}/log/batch={batch_id}", self._log()
+        rows.hint("rebalance", "day").write.mode("overwrite").partitionBy("late", "day").parquet(folder)
+        days: dict[bool, list[str]] = {}
+        for late in (False, True):
+            fs, place = fs_of(self.spark, f"{folder}/late={str(late).lower()}")
+            days[late] = sorted(d.getPath().getName()[4:] for d in fs.listStatus(place)) if fs.exists(place) else []
+        for day in days[False]:
+            log["days"][day] = sorted({*log["days"].get(day, []), batch_id})
+        if days[True]:
+            log["late"] = sorted({*log["late"], batch_id})
+        log |= {"batch": batch_id, "schema": rows.drop("late", "day").schema.jsonValue()}
+        publish_json(self.spark, f"{self.path}/log/manifest.json", log)
+        return log, days[False]
+
+    def _store(self, log: dict) -> PartitionStore:
+        sample = self.spark.createDataFrame([], self._schema(log))
         schema = self._aggregate(sample.withColumn("day", F.lit(""))).schema
         return PartitionStore(self.spark, f"{self.path}/hours", schema, "day")
 
@@ -77,32 +84,25 @@ class LateEventAggregator:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Append a batch, recompute the days it touched, and replace them until the cut-off."""
         rows = self._shape(batch)
-        body = rows.drop("late", "day")
-        if self.kept_schema is None:
-            self.kept_schema = body.schema
-        store = self._store()
-        if batch_id <= store.manifest()["batch"]:
+        if batch_id <= PartitionStore(self.spark, f"{self.path}/hours", T.StructType([T.StructField("day", T.StringType())]), "day").manifest()["batch"]:
             return
-        folder = f"{self.path}/log/batch={batch_id}"
-        rows.hint("rebalance", "day").write.mode("overwrite").partitionBy("late", "day").parquet(folder)
-        days = self._log_manifest()["days"]
-        touched = [d for d, places in days.items() if any(b == f"batch={batch_id}" for b, _ in places)]
+        log, touched = self._append(rows, batch_id)
         if not touched:
             return
-        paths = [p for d in touched for _, p in days[d]]
-        log = self.spark.read.schema(self.kept_schema).parquet(*paths).withColumn("day", F.date_format(F.timestamp_millis("hour_ms"), "yyyy-MM-dd"))
-        store.replace(self._aggregate(log), touched, batch_id)
+        paths = [f"{self.path}/log/batch={b}/late=false/day={d}" for d in touched for b in log["days"][d]]
+        kept = self.spark.read.schema(self._schema(log)).parquet(*paths).withColumn("day", F.date_format(F.timestamp_millis("hour_ms"), "yyyy-MM-dd"))
+        self._store(log).replace(self._aggregate(kept), touched, batch_id)
 
     def hours(self) -> DataFrame:
         """The aggregates as they stand: ``hour_ms`` and the measures."""
-        return self._store().read().drop("day")
+        return self._store(self._log()).read().drop("day")
 
     def ledger(self) -> DataFrame:
         """The records that came too late to be counted."""
-        late = self._log_manifest()["late"]
-        if not late:
-            return self.spark.createDataFrame([], self.kept_schema)
-        return self.spark.read.schema(self.kept_schema).parquet(*late)
+        log = self._log()
+        if not log["late"]:
+            return self.spark.createDataFrame([], self._schema(log))
+        return self.spark.read.schema(self._schema(log)).option("recursiveFileLookup", "true").parquet(*[f"{self.path}/log/batch={b}/late=true" for b in log["late"]])
 
     def stream(self, events: DataFrame, checkpoint: str):
         """Run over a streaming DataFrame until its source is exhausted; returns the ended query."""

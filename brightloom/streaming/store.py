@@ -16,6 +16,34 @@ from pyspark.sql import types as T
 from ..session import fs_of
 
 
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """A small file's content, or None where it doesn't exist."""
+    fs, at = fs_of(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def publish_json(spark: SparkSession, path: str, content: dict) -> None:
+    """Replace a small file in one step: a reader sees the old content or the new one."""
+    fs, final = fs_of(spark, path)
+    _, draft = fs_of(spark, f"{path}.draft")
+    out = fs.create(draft, True)
+    try:
+        out.write(bytearray(json.dumps(content).encode()))
+    finally:
+        out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration())
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(draft, final, options)
+
+
 class PartitionStore:
     """Rows partitioned by one column of type string or int; a partition is always replaced as a whole."""
 
@@ -25,28 +53,7 @@ class PartitionStore:
 
     def manifest(self) -> dict:
         """``{"batch": last committed batch, "parts": {partition value: folder}}``."""
-        fs, path = fs_of(self.spark, f"{self.path}/manifest.json")
-        if not fs.exists(path):
-            return {"batch": -1, "parts": {}}
-        stream = fs.open(path)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _publish(self, manifest: dict) -> None:
-        fs, final = fs_of(self.spark, f"{self.path}/manifest.json")
-        _, draft = fs_of(self.spark, f"{self.path}/manifest.{manifest['batch']}.draft")
-        out = fs.create(draft, True)
-        try:
-            out.write(bytearray(json.dumps(manifest).encode()))
-        finally:
-            out.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
-        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context.rename(draft, final, options)
+        return read_json(self.spark, f"{self.path}/manifest.json") or {"batch": -1, "parts": {}}
 
     def read(self, values: list | None = None, manifest: dict | None = None) -> DataFrame:
         """All rows, or those of the partitions in ``values``; the files of other partitions aren't listed."""
@@ -79,4 +86,4 @@ class PartitionStore:
             else:
                 manifest["parts"].pop(value, None)
         manifest["batch"] = batch
-        self._publish(manifest)
+        publish_json(self.spark, f"{self.path}/manifest.json", manifest)

@@ -184,6 +184,8 @@ def test_late_events(spark):
     op.process(events(spark, rows[1:]), 1)  # delivered twice
     assert {(r.hour_ms, r.n) for r in op.hours().collect()} == {(base, 3), (base + HOUR, 1)}
     assert {r.id for r in op.ledger().collect()} == {3, 7}
+    again = LateEventAggregator(spark, op.path)  # started anew, nothing has arrived since
+    assert sorted(again.hours().collect()) == sorted(op.hours().collect()) and {r.id for r in again.ledger().collect()} == {3, 7}
     whole = LateEventAggregator(spark, work_dir(spark, "t")).replay(events(spark, rows), 3)
     assert sorted(whole.hours().collect()) == sorted(op.hours().collect()) and {r.id for r in whole.ledger().collect()} == {3, 7}
 
@@ -191,6 +193,8 @@ def test_late_events(spark):
 def test_no_late_events_and_no_events(spark):
     op = LateEventAggregator(spark, work_dir(spark, "t")).replay(events(spark, []), 3)
     assert op.hours().count() == 0 and op.ledger().count() == 0
+    never = LateEventAggregator(spark, work_dir(spark, "t"))
+    assert never.hours().count() == 0 and never.ledger().count() == 0
 
 
 def test_store_replaces_atomically(spark):
@@ -215,10 +219,11 @@ def test_feature_rows_match_brute_force(spark, tmp_path):
     batches = [rows[:4], rows[2:] + rows[:1], []]
     for i, b in enumerate(batches):
         messages(spark, b).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{i}")
-    op = EntityFeatures(spark, work_dir(spark, "f"), buckets=3)
+    op = EntityFeatures(spark, work_dir(spark, "f"), compact=1)
     stream = spark.readStream.schema(messages(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in[0-9]")
     op.stream(stream, f"{tmp_path}/checkpoint")
     got = {r["item"]: (r.n_events, r.last_ms, r.dwell_n, r.dwell_ms, r.dwell_rejected, [tuple(t) for t in r.types]) for r in op.features(text.slug_a).collect()}
+    assert op._manifest()["parts"] and EntityFeatures(spark, op.path).features(text.slug_a).count() == 3  # a new operator reads on
     assert got == {
         "a b": (3, 9, 1, 100, 1, [("click", 2, 9), ("view", 1, 7)]),
         "c": (1, None, 0, 0, 0, [("unknown", 1, None)]),
