@@ -119,10 +119,8 @@ def hour_fold(hourly: DataFrame, first_hour: str) -> DataFrame:
 def multi_grouping(events: DataFrame) -> DataFrame:
     """Pageviews by date, section, country and in total in one pass, with whole percentages."""
     views = of_type(events, "pageview").select("date", F.split_part("page", F.lit("/"), F.lit(2)).alias("section"), "country")
-    views.createOrReplaceTempView("multi_grouping_views")
-    grouped = views.sparkSession.sql(
-        "SELECT grouping_id(date, section, country) AS gid, date, section, country, count(*) AS n FROM multi_grouping_views GROUP BY GROUPING SETS ((date), (section), (country), ())"
-    )
+    dims = [F.col(c) for c in ("date", "section", "country")]
+    grouped = views.groupingSets([[c] for c in dims] + [[]], *dims).agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"))
     kind = F.when(F.col("gid") == 3, "date").when(F.col("gid") == 5, "section").when(F.col("gid") == 6, "country").otherwise("total")
     key = F.when(F.col("gid") == 3, F.col("date")).when(F.col("gid") == 5, F.col("section")).when(F.col("gid") == 6, F.col("country"))
     total = views.agg(F.count(F.lit(1))).scalar()

@@ -44,7 +44,7 @@ def missing_fields(items: DataFrame, id_col: str, required: list[str]) -> DataFr
 
 def submission_errors(items: DataFrame) -> Column:
     """Error list of a submission (name, url, description, type)."""
-    known = F.col("type").isin("package", "dataset", "paper", "resource", "talk", "book", "career", "community")
+    known = F.col("type").isin("package", "dataset", "learning", "paper", "talk", "book", "community")  # fixed values
     tests = [
         F.when(~F.coalesce(known, F.lit(False)), "unknown type"),
         F.when(F.coalesce(F.length(F.trim("name")), F.lit(0)) < 2, "name too short"),
@@ -148,8 +148,12 @@ def apply_results(items: DataFrame, results: DataFrame, key: str, columns: list[
     return joined.withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
-def confidence(questions: Column, summary: Column, difficulty: Column, audience: Column, special: Column) -> Column:
-    """Quality of an enrichment: 1 less penalties, within [0, 1]."""
+def confidence(questions: Column, summary: Column, difficulty: Column, audience: Column, prerequisites: Column, kind: Column, special: dict[str, Column]) -> Column:
+    """Quality of an enrichment: 1 less penalties, within [0, 1]. ``special`` names the list that items of a type must have."""
+    advanced = F.exists(F.coalesce(prerequisites, F.array().cast("array<string>")), lambda p: F.regexp_like(F.lower(p), F.lit("phd|research|advanced|expert")))
+    lacking = F.lit(False)
+    for name, column in special.items():
+        lacking = lacking | (F.coalesce(kind == name, F.lit(False)) & (F.coalesce(F.size(column), F.lit(0)) <= 0))
     n = F.coalesce(F.size(questions), F.lit(0))
     bad_audience = F.coalesce(~F.forall(audience, lambda a: a.isin("Early-PhD", "Junior-DS", "Mid-DS", "Senior-DS", "Curious-browser")), F.lit(False))
     score = (
@@ -158,7 +162,8 @@ def confidence(questions: Column, summary: Column, difficulty: Column, audience:
         - F.when(F.coalesce(summary, F.lit("")) == "", 0.2).when(F.length(summary) < 50, 0.1).otherwise(0.0)
         - F.when(F.coalesce(difficulty.isin("beginner", "intermediate", "advanced"), F.lit(False)), 0.0).otherwise(0.2)
         - F.when(F.coalesce(F.size(audience), F.lit(0)) <= 0, 0.1).when(bad_audience, 0.15).otherwise(0.0)
-        - F.when(F.coalesce(F.size(special), F.lit(0)) <= 0, 0.1).otherwise(0.0)
+        - F.when(F.coalesce(difficulty == "beginner", F.lit(False)) & F.coalesce(advanced, F.lit(False)), 0.1).otherwise(0.0)
+        - F.when(lacking, 0.1).otherwise(0.0)
     )
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 

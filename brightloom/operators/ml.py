@@ -46,7 +46,7 @@ def regress(items: DataFrame, features: list[str], target: str, model: str = "tw
     learners = {
         "tweedie": GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, labelCol=target, maxIter=50, regParam=0.01),
         "ridge": LinearRegression(labelCol=target, regParam=10.0, elasticNetParam=0.0),
-        "trees": GBTRegressor(labelCol=target, maxDepth=5, maxIter=20, stepSize=0.05, seed=42),
+        "trees": GBTRegressor(labelCol=target, maxDepth=5, maxIter=100, stepSize=0.05, seed=42),
     }
     fitted = Pipeline(stages=[assembled, scaled, learners[model]]).fit(items.where("train"))
     return fitted.transform(items).withColumn("prediction", F.greatest("prediction", F.lit(0.0))), fitted

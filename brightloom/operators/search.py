@@ -164,9 +164,47 @@ def rrf(keyword: DataFrame, semantic: DataFrame, k: int = 60) -> DataFrame:
     return joined.select("id", (part(wk, "ra") + part(ws, "rb")).alias("score"), "ra", "rb")
 
 
-#: Words that tell beginners' and researchers' queries, and the audiences they favour.
-BEGINNER = "(?i)\\b(beginner|intro|introduction|introductory|basics?|learn|tutorial|getting started|101|simple|easy)\\b"
-ADVANCED = "(?i)\\b(advanced|research|paper|phd|theory|theoretical|proof|asymptotic|state of the art)\\b"
+#: Words that tell beginners' and researchers' queries; they count inside words too.
+BEGINNER = "intro|beginner|start|basic|learn|what is|simple|getting started|tutorial|guide for"
+ADVANCED = "paper|research|advanced|theory|proof|optimal|state of the art|sota|novel|algorithm"
+#: Intents in the order in which they are tried: pattern (without regard to case), favoured types, factor.
+INTENTS = [
+    (r"how to|guide|beginner|intro|learn|getting started|tutorial|walkthrough|step by step|hands-on|quickstart|example|crash course|101\b|basics", ("resource", "roadmap", "book"), 1.5),
+    (r"paper|study|evidence|finding|analysis|research|literature|empirical|methodology|framework|theory|survey|review|meta-analysis|systematic", ("paper",), 1.8),
+    (r"\bdataset\b|download data|csv|benchmark data|corpus|training data|data source|open data|public data|kaggle", ("dataset",), 1.8),
+    (r"install|npm|pip|code|library|package|cran|pypi|implementation", ("package",), 1.8),
+    (r"job|interview|resume|salary|hire|career|role|position|company", ("career",), 1.8),
+    (r"video|talk|presentation|lecture|conference|youtube|watch", ("talk",), 1.5),
+    (r"community|forum|slack|discord|newsletter|blog|podcast|follow", ("community",), 1.5),
+    (r"book|textbook|reading|read|author", ("book",), 1.5),
+    (r"causal|RCT|A\/B test|treatment effect|DiD|diff-in-diff|regression discontinuity|instrumental variable|IV\b|propensity|confounder|identification|natural experiment|quasi-experiment", ("paper", "package"), 1.6),
+    (r"pricing|revenue|demand estimation|elasticity|willingness to pay|conjoint", ("paper", "package"), 1.6),
+    (r"CLV|customer lifetime|churn|retention|BTYD|Pareto\/NBD|BG\/NBD|RFM", ("paper", "package", "book"), 1.6),
+    (r"recommend|collaborative filtering|matrix factorization|personalization|content-based", ("paper", "package", "dataset"), 1.6),
+    (r"advertis|ad tech|RTB|programmatic|ad auction|bidding|impression|click-through", ("paper", "package"), 1.6),
+    (r"energy|electricity|grid|renewable|solar|wind|utility|power plant|emissions", ("paper", "dataset", "package"), 1.5),
+    (r"defense|military|security|procurement|SIPRI|arms|cyber|DoD", ("paper", "dataset"), 1.5),
+    (r"machine learning|ML\b|neural|deep learning|transformer|BERT|GPT|XGBoost|random forest", ("paper", "package"), 1.4),
+    (r"bayesian|posterior|prior|MCMC|PyMC|Stan\b|hierarchical model", ("paper", "package", "book"), 1.5),
+    (r"time series|forecast|ARIMA|prophet|seasonality|trend", ("paper", "package"), 1.5),
+    (r"fraud|anomaly detection|risk scoring|outlier|suspicious|anti-fraud", ("paper", "package", "dataset"), 1.6),
+    (r"matching|marketplace|two-sided|platform|gig economy|uber|airbnb", ("paper", "package"), 1.5),
+    (r"auction|bidding|VCG|GSP|mechanism design|reserve price|second price", ("paper", "package"), 1.6),
+    (r"health|medical|clinical|patient|hospital|pharma|drug", ("paper", "dataset", "package"), 1.5),
+    (r"insurance|actuarial|underwriting|claims|loss ratio|mortality|morbidity", ("paper", "package", "dataset"), 1.5),
+    (r"sports|baseball|basketball|football|soccer|sabermetrics|player value|WAR\b", ("paper", "dataset", "package"), 1.5),
+    (r"logistics|supply chain|inventory|fulfillment|routing|delivery|last mile", ("paper", "package", "dataset"), 1.5),
+    (r"privacy|differential privacy|GDPR|anonymization|federated|secure", ("paper", "package"), 1.5),
+    (r"ranking|learn to rank|NDCG|position bias|click model|search engine", ("paper", "package"), 1.5),
+    (r"embedding|representation learning|word2vec|node2vec|graph neural", ("paper", "package"), 1.4),
+    (r"survival|hazard|cox regression|kaplan-meier|time-to-event|censored", ("paper", "package"), 1.5),
+    (r"segment|cluster|k-means|DBSCAN|cohort|persona|customer segment", ("paper", "package"), 1.5),
+    (r"attribution|marketing mix|MMM|incrementality|media mix|channel", ("paper", "package", "book"), 1.6),
+    (r"choice model|discrete choice|logit|multinomial|conjoint|stated preference", ("paper", "package", "book"), 1.5),
+    (r"optim|linear programming|convex|gradient descent|solver|constraint", ("paper", "package"), 1.4),
+    (r"NLP|text|sentiment|topic model|LDA|named entity|tokeniz", ("paper", "package"), 1.4),
+    (r"experiment|sample size|power analysis|sequential test|bandit|MAB", ("paper", "package"), 1.5),
+]
 
 
 def audience_boost(audience: Column, query: str) -> Column:
@@ -174,18 +212,18 @@ def audience_boost(audience: Column, query: str) -> Column:
     text = F.coalesce(audience, F.lit(""))
     junior, senior = text.contains("Junior-DS") | text.contains("Beginner"), text.contains("Senior-DS") | text.contains("PhD")
     out = F.lit(1.0)
-    if re.search(ADVANCED.replace("(?i)", ""), query, re.I):
+    if re.search(ADVANCED, query, re.I):
         out = F.when(senior, 1.2).otherwise(out)
-    if re.search(BEGINNER.replace("(?i)", ""), query, re.I):
+    if re.search(BEGINNER, query, re.I):
         out = F.when(junior, 1.25).when(senior, 0.85).otherwise(out)
     return out
 
 
-def intent_factor(query: str, rules: list[tuple[str, dict[str, float]]], kind: str = "type") -> Column:
-    """Factors of the first rule whose pattern the query matches, by type."""
-    for pattern, factors in rules:
+def intent_factor(query: str, rules: list[tuple[str, tuple[str, ...], float]] = INTENTS, kind: str = "type") -> Column:
+    """The factor of the first rule whose pattern the query matches, for items of its types."""
+    for pattern, types, factor in rules:
         if re.search(pattern, query, re.I):
-            return F.coalesce(F.create_map(*[F.lit(x) for kv in factors.items() for x in kv])[F.col(kind)], F.lit(1.0))
+            return F.when(F.coalesce(F.col(kind).isin(*types), F.lit(False)), factor).otherwise(1.0)
     return F.lit(1.0)
 
 
@@ -246,16 +284,20 @@ def fuzzy_names(items: DataFrame, query: str, threshold: float = 0.4) -> DataFra
 
 def search(items: DataFrame, query: str, top: int = 400, keep: int = 200, facets: Facets | None = None, filter_mode: str = "pre", semantic: DataFrame | None = None, intents: list | None = None) -> DataFrame:
     """The whole way from a query string to ordered results. ``filter_mode="post"`` filters after the top-k cut, as the
-    reference does; ``"pre"`` pushes the filters to the scan, so a selective filter loses no results."""
+    reference does; ``"pre"`` filters before it, so a selective filter loses no results. Term statistics are those of the
+    whole corpus either way: a filter never changes a score."""
     parsed = parse(query)
     text = parsed.clean
     wanted = matches(parsed) & (facets.condition() if facets else F.lit(True))
     base = items.where(wanted) if filter_mode == "pre" else items
-    scored = bm25(postings(base), query_terms(text)).orderBy(F.desc("score"), "id").limit(top)
+    scored = bm25(postings(items), query_terms(text))
+    if filter_mode == "pre":
+        scored = scored.join(base.select("id"), "id", "left_semi")
+    scored = scored.orderBy(F.desc("score"), "id").limit(top)
     boosted = scored.join(base, "id").withColumn("score", F.round(exact_boost(F.col("score"), text), 9)).select("id", "score")
     fused = rrf(boosted, semantic).select("id", "score") if semantic is not None else boosted
     out = fused.join(items, "id")
     if filter_mode == "post":
         out = out.where(wanted)
-    out = out.withColumn("score", F.col("score") * intent_factor(query, intents or []))
+    out = out.withColumn("score", F.col("score") * intent_factor(query, INTENTS if intents is None else intents))
     return out.orderBy(F.desc("score"), "id").limit(keep)

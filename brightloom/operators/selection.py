@@ -26,7 +26,7 @@ def labels(tops: DataFrame, group: str, parts: int = 2) -> DataFrame:
 
 
 #: Words that make a label generic.
-GENERIC = ("general", "other", "misc", "various", "data", "analysis", "methods", "tools", "research", "resources")
+GENERIC = ("insights", "techniques", "analysis", "overview", "framework", "methods", "approaches", "strategies", "resources", "tools")
 
 
 def is_generic(label: Column, terms: tuple[str, ...] = GENERIC, least: int = 2) -> Column:

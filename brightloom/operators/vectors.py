@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scores import relevance
 from ..functions.vectors import cosine, dot, literal, norm
-from ..session import work_dir
+from ..session import cut, work_dir
 
 BLOCK = 1024
 MAX_CENTERS = 20_000
@@ -113,7 +113,7 @@ def related_by_cells(vectors: DataFrame, k: int, threshold: float, probes: int =
     share = min(1.0, sample / max(1, n))
     fitted = vectors.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(share * 1_000_000))
     unit = fitted.select(array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
-    centers = np.array(KMeans(k=cells, seed=seed, maxIter=20).fit(unit).clusterCenters())
+    centers = np.array(KMeans(k=cells, seed=seed, maxIter=100).fit(unit).clusterCenters())
     wide = min(probes, len(centers))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,13 +212,27 @@ def _mmr(pick: int, weight: float):
     return run
 
 
-def mmr(members: DataFrame, pick: int = 15, weight: float = 0.6, shortlist: int = 2000) -> DataFrame:
+def mmr(members: DataFrame, pick: int = 15, weight: float = 0.6, in_task: int = 2000) -> DataFrame:
     """Maximal marginal relevance in each label: the most relevant first, then relevance against likeness to those
-    chosen. The choice is sequential; a group enters it with its ``shortlist`` most relevant members, ranked before
-    the shuffle, so no task holds an unbounded group."""
-    w = Window.partitionBy("label").orderBy(F.desc("relevance"), "id")
-    short = members.select("label", "id", "vec", "relevance").withColumn("r", F.row_number().over(w)).where(F.col("r") <= shortlist).drop("r")
-    return short.groupBy("label").applyInPandas(_mmr(pick, weight), "label int, id bigint, place int")
+    chosen, ties by relevance and id. Every member can be chosen. Groups of up to ``in_task`` members are chosen from in a
+    task each; of larger ones every round takes the best of all members, distributed, and passes on only its vector."""
+    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    some = members.select("label", "id", "vec", "relevance").join(sizes, "label")
+    small = some.where(F.col("_n") <= in_task).drop("_n").groupBy("label").applyInPandas(_mmr(pick, weight), "label int, id bigint, place int")
+    if not sizes.where(F.col("_n") > in_task).take(1):
+        return small
+    base = cut(some.where(F.col("_n") > in_task).select("label", "id", F.transform("vec", lambda x: x.cast("double") / F.greatest(norm(F.col("vec")), F.lit(1e-12))).alias("v"), "relevance"), "members")
+    chosen = None
+    for place in range(1, pick + 1):
+        rest, value = base, F.col("relevance")
+        if chosen is not None:
+            so_far = chosen.groupBy("label").agg(F.collect_list("v").alias("vs"), F.collect_list("id").alias("ids"))
+            rest = base.join(so_far, "label").where(~F.array_contains("ids", F.col("id")))
+            value = weight * F.col("relevance") - (1 - weight) * F.array_max(F.transform("vs", lambda o: F.aggregate(F.zip_with("v", o, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)))
+        best = rest.groupBy("label").agg(F.max_by(F.struct("id", "v"), F.struct(value.alias("value"), "relevance", -F.col("id"))).alias("b"))
+        best = cut(best.select("label", "b.id", "b.v", F.lit(place).alias("place")), "best")  # one row of each label
+        chosen = best if chosen is None else chosen.unionByName(best)
+    return small.unionByName(chosen.select("label", "id", "place"))
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 42, rounds: int = 100) -> DataFrame:
@@ -230,5 +244,5 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 42, rounds: int = 100) -> Dat
 def best_k(vectors: DataFrame, choices: list[int], seed: int = 42) -> DataFrame:
     """Silhouette of k-means by number of clusters."""
     unit = vectors.select("id", array_to_vector(F.transform("vec", lambda x: x.cast("double") / norm(F.col("vec")))).alias("features"))
-    scores = [(k, float(ClusteringEvaluator().evaluate(KMeans(k=k, seed=seed, maxIter=20).fit(unit).transform(unit)))) for k in choices]
+    scores = [(k, float(ClusteringEvaluator().evaluate(KMeans(k=k, seed=seed, maxIter=100).fit(unit).transform(unit)))) for k in choices]
     return vectors.sparkSession.createDataFrame(scores, "k int, silhouette double")

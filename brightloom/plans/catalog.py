@@ -91,7 +91,7 @@ def interleave(spark, sf_dir):
 
 def header_filldown(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    filled = C.fill_down(lines, "doc_id", "pos", F.when(F.col("line").startswith("Question: "), F.substring("line", 11, 20)))
+    filled = C.fill_down(lines, "doc_id", "pos", F.when(F.col("line").startswith("Question: "), F.substring("line", 11, 1 << 30)))
     return filled.where("header IS NOT NULL").groupBy("doc_id", "header").agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -124,7 +124,7 @@ def doi_extract(spark, sf_dir):
 
 
 def submissions(spark, sf_dir):
-    a = _archive(spark, sf_dir).select("record_id", "name", "url", "description", F.when(F.col("record_id") % 4 == 0, "thing").otherwise("dataset").alias("type"))
+    a = _archive(spark, sf_dir).select("record_id", "name", "url", "description", F.element_at(F.array(*[F.lit(t) for t in ("thing", "dataset", "learning", "resource", "career", "community")]), (F.col("record_id") % 6 + 1).cast("int")).alias("type"))
     return a.select("record_id", F.array_join(C.submission_errors(a), "; ").alias("errors")).where("errors <> ''")
 
 
@@ -135,7 +135,9 @@ def embed_text(spark, sf_dir):
 
 def enrichment_confidence(spark, sf_dir):
     a = _archive(spark, sf_dir)
-    c = C.confidence(F.coalesce("topic_tags", F.array().cast("array<string>")), F.col("summary"), F.col("difficulty"), F.array(F.lit("Mid-DS")), F.col("domain_tags"))
+    kind = F.element_at(F.array(*[F.lit(t) for t in ("paper", "package", "dataset", "talk")]), (F.col("record_id") % 4 + 1).cast("int"))
+    before = F.when(F.col("record_id") % 3 == 0, F.array(F.lit("Algebra"), F.lit("PhD seminar"))).when(F.col("record_id") % 3 == 1, F.array(F.lit("Algebra")))
+    c = C.confidence(F.coalesce("topic_tags", F.array().cast("array<string>")), F.col("summary"), F.col("difficulty"), F.array(F.lit("Mid-DS")), before, kind, {"paper": F.col("tags"), "package": F.col("topic_tags"), "dataset": F.col("domain_tags")})
     return a.select("record_id", F.round(c, 4).alias("confidence"))
 
 
@@ -255,7 +257,7 @@ SQL = {
     "interleave_thirds": """WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY round(s_acctbal, 2) DESC, s_suppkey) - 1 AS r, (count(*) OVER () + 2) // 3 AS t FROM supplier)
         SELECT s_suppkey, CAST((r % t) * 3 + r // t AS INTEGER) AS position, CAST(r // t AS INTEGER) AS part FROM r""",
     "header_filldown": r"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
-        h AS (SELECT doc_id, last_value(CASE WHEN starts_with(line, 'Question: ') THEN substr(line, 11, 20) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS header FROM l)
+        h AS (SELECT doc_id, last_value(CASE WHEN starts_with(line, 'Question: ') THEN substr(line, 11) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS header FROM l)
         SELECT doc_id, header, count(*) AS lines FROM h WHERE header IS NOT NULL GROUP BY 1, 2""",
     "incremental_diff": f"""WITH a AS (SELECT record_id, {_HASH} AS h FROM datasets_archive), s AS (SELECT record_id, CASE WHEN record_id % 5 = 0 THEN 'stale' ELSE h END AS o, CASE WHEN record_id % 7 = 0 THEN '2.1' ELSE '2.2' END AS v FROM a WHERE record_id % 3 <> 0),
         r AS (SELECT a.record_id, CASE WHEN o IS NULL THEN 'new' WHEN o <> h THEN 'changed' WHEN v < '2.2' THEN 'version' END AS reason FROM a LEFT JOIN s USING (record_id)) SELECT * FROM r WHERE reason IS NOT NULL""",
@@ -267,12 +269,13 @@ SQL = {
     "urls": f"""WITH h AS (SELECT record_id, url, {_HOST} AS host FROM datasets_archive)
         SELECT record_id, host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS root, CASE WHEN host IS NULL THEN 'none' ELSE 'other' END AS class, {_NU} AS normal FROM h""",
     "doi_extract": "SELECT p_partkey, '10.' || (p_partkey + 1000) || '/abc.' || p_size AS doi, 'org/' || replace(p_brand, '#', '-') AS repo FROM part",
-    "submissions": r"""WITH e AS (SELECT record_id, concat_ws('; ', CASE WHEN record_id % 4 = 0 THEN 'unknown type' END, CASE WHEN coalesce(length(trim(name, ' ')), 0) < 2 THEN 'name too short' END, CASE WHEN length(name) > 200 THEN 'name too long' END,
+    "submissions": r"""WITH e AS (SELECT record_id, concat_ws('; ', CASE WHEN record_id % 6 IN (0, 3, 4) THEN 'unknown type' END, CASE WHEN coalesce(length(trim(name, ' ')), 0) < 2 THEN 'name too short' END, CASE WHEN length(name) > 200 THEN 'name too long' END,
         CASE WHEN NOT coalesce(regexp_full_match(url, 'https?://\S+'), false) THEN 'bad url' END, CASE WHEN length(description) > 1000 THEN 'description too long' END) AS errors FROM datasets_archive) SELECT * FROM e WHERE errors <> ''""",
     "embed_text": f"""SELECT record_id, md5(concat_ws('. ', {_CLEAN('name')}, {_CLEAN('description')}, 'Category: ' || {_CLEAN('category')}, 'Topics: ' || {_CLEAN("CASE WHEN len(topic_tags) > 0 THEN array_to_string(topic_tags, ', ') END")},
         'Tags: ' || {_CLEAN("CASE WHEN len(tags) > 0 THEN array_to_string(tags, ', ') END")})) AS digest FROM datasets_archive""",
     "enrichment_confidence": """SELECT record_id, CAST(round(greatest(0, least(1, 1.0 - CASE WHEN coalesce(len(topic_tags), 0) = 0 THEN 0.3 WHEN len(topic_tags) < 4 THEN 0.15 ELSE 0 END - CASE WHEN coalesce(summary, '') = '' THEN 0.2 WHEN length(summary) < 50 THEN 0.1 ELSE 0 END
-        - CASE WHEN coalesce(difficulty IN ('beginner', 'intermediate', 'advanced'), false) THEN 0 ELSE 0.2 END - CASE WHEN coalesce(len(domain_tags), 0) = 0 THEN 0.1 ELSE 0 END)), 4) AS DOUBLE) AS confidence FROM datasets_archive""",
+        - CASE WHEN coalesce(difficulty IN ('beginner', 'intermediate', 'advanced'), false) THEN 0 ELSE 0.2 END - CASE WHEN coalesce(difficulty = 'beginner', false) AND record_id % 3 = 0 THEN 0.1 ELSE 0 END
+        - CASE WHEN coalesce(len(CASE record_id % 4 WHEN 0 THEN tags WHEN 1 THEN topic_tags WHEN 2 THEN domain_tags ELSE ['x'] END), 0) = 0 THEN 0.1 ELSE 0 END)), 4) AS DOUBLE) AS confidence FROM datasets_archive""",
     "completeness": " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) FILTER (WHERE trim(CAST({c} AS VARCHAR), ' ') <> '') AS filled, round(count(*) FILTER (WHERE trim(CAST({c} AS VARCHAR), ' ') <> '') / count(*), 6) AS share FROM collection_sheet" for c in ("name", "current_title", "current_company", "phd_institution", "phd_year", "phd_field", "twitter", "location", "notes")),
     "eligible": "SELECT sheet_id FROM collection_sheet WHERE phd_institution IS NOT NULL AND (coalesce(is_senior, false) OR coalesce(is_professor, false)) AND coalesce(verified, false)",
     "people_lines": f"SELECT sheet_id, concat_ws(', ', {_CLEAN('current_title')}, 'at ' || {_CLEAN('current_company')}, 'PhD from ' || {_CLEAN('phd_institution')}, 'known for ' || {_CLEAN('known_for')}) AS line FROM collection_sheet",

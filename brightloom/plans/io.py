@@ -66,12 +66,12 @@ def vectors_binary(spark, sf_dir):
 
 
 def envelope_ingest(spark, sf_dir):
-    """The log packed into wire envelopes by session and hour, and unpacked with the limit of 50 events."""
+    """The log packed into wire envelopes by session and hour, and unpacked with the limits of 50 events and 50,000 characters."""
     ev = table(spark, sf_dir, "analytics_events").where("session_id IS NOT NULL AND type IS NOT NULL")
     event = F.struct(F.col("id").alias("k"), F.col("type").alias("t"), F.col("timestamp").alias("ts"), F.col("session_id").alias("sid"), F.col("path").alias("p"), F.col("data").alias("d"))
     packed = ev.groupBy("session_id", F.floor(F.col("timestamp") / 3_600_000).alias("h")).agg(F.array_sort(F.collect_list(event)).alias("events"))
     wires = packed.select(F.to_json(F.struct(F.lit(2).alias("v"), F.transform("events", lambda e: F.struct(e["t"].alias("t"), e["ts"].alias("ts"), e["sid"].alias("sid"), e["p"].alias("p"), e["d"].alias("d"))).alias("events"))).alias("value"))
-    return S.read_events(wires, largest=10_000_000).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last_ms"))
+    return S.read_events(wires).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last_ms"))
 
 
 def stream_daily_counts(spark, sf_dir):

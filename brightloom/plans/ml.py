@@ -56,7 +56,7 @@ def als(spark, sf_dir):
     ev = A.shape(table(spark, sf_dir, "analytics_events"))
     named = lambda t, f: A.of_type(ev, t).select("sid", A.field(f).alias("name"))
     ratings = M.preferences(table(spark, sf_dir, "content_dwell"), named("click", "name"), named("impression", "name"), named("search_click", "resultId"))
-    return M.als_similar(cut(ratings, "ratings"), rounds=5)
+    return M.als_similar(cut(ratings, "ratings"))
 
 
 def als_input(spark, sf_dir):

@@ -43,13 +43,18 @@ def rrf(spark, sf_dir):
 def final_score(spark, sf_dir):
     items = _items(spark, sf_dir).where("name IS NOT NULL")
     bonus = question_bonus(F.array(F.concat(F.lit("where to find "), F.lower("name"))), "farm snow data")
-    boost = S.audience_boost(F.when(F.col("difficulty") == "beginner", "Junior-DS").otherwise("Senior-DS"), "intro to farm snow data")
+    boost = S.audience_boost(F.when(F.col("difficulty") == "beginner", "Junior-DS").otherwise("Senior-DS"), "a guide for farm snow data")
     return items.select("id", F.round((0.016 + bonus) * boost * model_boost((F.col("id") % 11) / 10.0), 6).alias("score"))
 
 
+_KINDS = ("paper", "package", "dataset", "resource", "book", "talk", "community", "career")
+_QUERIES = ("How to price ads", "wage paper", "the DATASET of rents", "datasets", "pip wheel", "salary by role", "lecture on rents", "slack group", "textbook", "RCT design", "did panel", "churn", "solar farm", "ML models", "html", "stan models", "auction", "bidding", "k-means", "nothing here", "survey 101", "sota")
+
+
 def intent_boost(spark, sf_dir):
-    rules = [(r"\bfree|open\b", {"survey": 1.4}), (r"sensor", {"sensor": 1.6, "transaction": 1.1})]
-    return _items(spark, sf_dir).select("id", S.intent_factor("sensor data", rules).alias("factor"))
+    kind = F.element_at(F.array(*[F.lit(t) for t in _KINDS]), (F.col("id") % len(_KINDS) + 1).cast("int"))
+    items = _items(spark, sf_dir).withColumn("type", kind)
+    return items.select("id", F.explode(F.array(*[F.struct(F.lit(q).alias("query"), S.intent_factor(q).alias("factor")) for q in _QUERIES])).alias("q")).select("id", "q.query", "q.factor")
 
 
 def facet_filter(spark, sf_dir):
@@ -126,7 +131,10 @@ SQL = {
         w AS (SELECT *, CAST(contains(q, 'farm') AS INTEGER) + CAST(contains(q, 'snow') AS INTEGER) + CAST(contains(q, 'data') AS INTEGER) AS n FROM h)
         SELECT id, round((0.016 + CASE WHEN contains(q, 'farm snow data') OR contains('farm snow data', q) THEN 0.3 WHEN n >= 3 THEN 0.2 WHEN n >= 2 THEN 0.1 ELSE 0 END)
           * CASE WHEN difficulty = 'beginner' THEN 1.25 ELSE 0.85 END * (1 + (id % 11) / 10.0::DOUBLE * 0.4), 6) AS score FROM w""",
-    "intent_boost": f"WITH {_IT} SELECT id, CAST(CASE type WHEN 'sensor' THEN 1.6 WHEN 'transaction' THEN 1.1 ELSE 1.0 END AS DOUBLE) AS factor FROM it",
+    "intent_boost": f"""WITH r(place, pattern, types, factor) AS (VALUES {", ".join(f"({i}, '{p}', {list(t)}, {f}::DOUBLE)" for i, (p, t, f) in enumerate(S.INTENTS))}), q(query) AS (VALUES {", ".join(f"('{q}')" for q in _QUERIES)}),
+        m AS (SELECT query, arg_min(types, place) AS types, arg_min(factor, place) AS factor FROM q JOIN r ON regexp_matches(query, pattern, 'i') GROUP BY 1),
+        i AS (SELECT record_id AS id, {list(_KINDS)}[record_id % {len(_KINDS)} + 1] AS type FROM datasets_archive)
+        SELECT id, query, CASE WHEN list_contains(types, type) THEN factor ELSE 1.0::DOUBLE END AS factor FROM i CROSS JOIN q LEFT JOIN m USING (query)""",
     "facets": f"""WITH {_IT}, f AS (SELECT 'type' AS facet, type AS value FROM it UNION ALL SELECT 'year', CAST(year AS VARCHAR) FROM it UNION ALL SELECT 'difficulty', difficulty FROM it UNION ALL SELECT 'category', category FROM it UNION ALL SELECT 'topics', unnest(topics) FROM it)
         SELECT facet, value, count(*) AS n FROM f WHERE value IS NOT NULL GROUP BY 1, 2""",
     "facet_filter": f"WITH {_IT} SELECT id FROM it WHERE type IN ('survey', 'sensor') AND list_has_any(topics, ['trade', 'health']) AND year BETWEEN 2024 AND 2026",
@@ -147,8 +155,8 @@ SQL = {
         SELECT doc_id, CASE WHEN length(t) <= 120 THEN t WHEN st > 60 THEN left(h, st) WHEN bl > 84 THEN left(h, bl - 1) || '...' ELSE h || '...' END AS head FROM c""",
     "highlight": "SELECT doc_id, md5(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(panel data|panel|data)', '<mark>\\1</mark>', 'g')) AS digest FROM documents WHERE text IS NOT NULL AND text <> ''",
     "fuzzy_names": f"WITH {_IT}, d AS (SELECT id, name, round(list_min(list_transform({_TOK('name')}, lambda t: levenshtein(t, 'tranport') / greatest(length(t), 8))), 4) AS distance FROM it WHERE name IS NOT NULL) SELECT * FROM d WHERE distance <= 0.4",
-    "search": f"""WITH {_IT.replace('it AS', 'it0 AS')}, it AS (SELECT * FROM it0 WHERE type = 'survey' AND NOT contains({_TEXT}, 'weekly')), {_POST}, {_bm25_sql(_WAGE)},
-        t AS (SELECT * FROM bm ORDER BY score DESC, id LIMIT 400) SELECT id, round(score * {_BOOST('wage survey', ['wage', 'survey'])}, 5) AS score FROM t JOIN it USING (id) ORDER BY round(score * {_BOOST('wage survey', ['wage', 'survey'])}, 9) DESC, id LIMIT 200""",
+    "search": f"""WITH {_IT}, {_POST}, {_bm25_sql(_WAGE)},
+        t AS (SELECT bm.* FROM bm JOIN it USING (id) WHERE type = 'survey' AND NOT contains({_TEXT}, 'weekly') ORDER BY score DESC, id LIMIT 400) SELECT id, round(score * {_BOOST('wage survey', ['wage', 'survey'])}, 5) AS score FROM t JOIN it USING (id) ORDER BY round(score * {_BOOST('wage survey', ['wage', 'survey'])}, 9) DESC, id LIMIT 200""",
     "search_post": f"""WITH {_IT}, {_POST}, {_bm25_sql(_WAGE)}, t AS (SELECT * FROM bm ORDER BY score DESC, id LIMIT 50)
         SELECT id, round(score * {_BOOST('wage survey', ['wage', 'survey'])}, 5) AS score FROM t JOIN it USING (id) WHERE type = 'survey' LIMIT 200""",
 }

@@ -29,8 +29,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where it is set, else (tests) a temporary one set here."""
+    """The folder all executors share: ``spark.checkpoint.dir`` where it is set, else, on a local master only, a temporary one set here."""
     there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not there:
         there = f"file://{tempfile.mkdtemp(prefix='brightloom-')}"
         spark.conf.set("spark.checkpoint.dir", there)
@@ -40,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SHIPPED: set[str] = set()
+_HOMES: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -60,9 +63,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder below the shared one."""
+    """A fresh folder below the application's own, which goes when the application ends."""
     ship(spark)
-    return os.path.join(shared_dir(spark), f"brightloom-{what}-{uuid.uuid4().hex[:12]}")
+    home = os.path.join(shared_dir(spark), f"brightloom-{spark.sparkContext.applicationId}")
+    if home not in _HOMES:
+        fs, path = fs_of(spark, home)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _HOMES.add(home)
+    return os.path.join(home, f"{what}-{uuid.uuid4().hex[:12]}")
 
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:

@@ -101,6 +101,9 @@ def test_mmr(spark):
     rows = [(0, 1, [1.0, 0.0], 0.9), (0, 2, [1.0, 0.0], 0.85), (0, 3, [0.0, 1.0], 0.5)]
     got = V.mmr(spark.createDataFrame(rows, "label int, id bigint, vec array<float>, relevance double"), pick=2).orderBy("place").collect()
     assert [r.id for r in got] == [1, 3]
+    many = [(k, i, [float(i % 7 - 3), float(i % 5 - 2), float(k + 1)], (i * 37 % 50) / 50) for k in range(2) for i in range(40)]
+    df = spark.createDataFrame(many, "label int, id bigint, vec array<float>, relevance double")
+    assert sorted(V.mmr(df, pick=4, in_task=5).collect()) == sorted(V.mmr(df, pick=4).collect())
 
 
 def test_round_robin(spark):
@@ -255,3 +258,17 @@ def test_entry_works_without_the_corpus_operators(monkeypatch):
     core = set(entry.queries())
     assert "p4_found" in core and core <= full and not {q for q in core if q.startswith(("p1_", "p2_", "p5_", "p6_", "p7_", "p8_", "p9_"))}
     assert set(entry.oracle_sql()) <= core
+
+
+def test_the_rest_works_without_the_deleted_folders(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parents[1]
+    for name in ("brightloom", "tests"):
+        shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'p4_found' in q and 'p1_found' not in q and set(e.oracle_sql()) <= set(q); print(len(q))"
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout) > 150
