@@ -42,11 +42,12 @@ def first_impressions(events: DataFrame, field) -> DataFrame:
 
 
 def rage_clicks(clicks: DataFrame, actor: str, element: str, at_ms: str, order: str, span_ms: int = 2000, least: int = 3) -> DataFrame:
-    """Clicks that are at least the ``least``-th on one element within the span, without another element between."""
+    """Clicks that are at least the ``least``-th on one element in less than the span, without another element between. The
+    form that starts counting anew after each alert is sequential: ``streaming.ingest.rage_click_alerts``."""
     w = Window.partitionBy(actor).orderBy(at_ms, order)
     run = clicks.withColumn("changed", F.coalesce((F.lag(element).over(w) != F.col(element)).cast("int"), F.lit(1))).withColumn("run", F.sum("changed").over(w))
     r = Window.partitionBy(actor, "run").orderBy(at_ms, order)
-    return run.withColumn("before", F.lag(at_ms, least - 1).over(r)).where(F.col(at_ms) - F.col("before") <= span_ms).drop("changed", "run", "before")
+    return run.withColumn("before", F.lag(at_ms, least - 1).over(r)).where(F.col(at_ms) - F.col("before") < span_ms).drop("changed", "run", "before")
 
 
 def reformulations(searches: DataFrame, session: str, query: str, at_ms: str, order: str, threshold: float = 0.3) -> DataFrame:
@@ -76,19 +77,33 @@ def gap_sessions(events: DataFrame, actor: str, ts: str, gap: str = "30 minutes"
     return grouped.select(actor, F.col("w.start").alias("start"), "n")
 
 
+def pairs_in_sessions(first: DataFrame, chunk: int = 64) -> DataFrame:
+    """``a, b`` (structs of item and pos, a.item < b.item) for all pairs of a session's rows ``session_id, item, pos``, one for each
+    item. Sessions are cut into chunks of about ``chunk`` items before a list is built, and each pair of chunks is joined by
+    itself, so a machine-like session is spread over the tasks."""
+    sizes = first.groupBy("session_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("session_id", F.ceil(F.col("k") / chunk).cast("int").alias("parts"))
+    placed = first.join(sizes, "session_id").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
+    chunks = placed.groupBy("session_id", "parts", "part").agg(F.collect_list(F.struct("item", "pos")).alias("s"))
+    inside = chunks.where(F.size("s") > 1).select("s", F.explode("s").alias("a")).select("a", F.explode("s").alias("b")).where("a.item < b.item")
+    spread = chunks.where("parts > 1").select("session_id", "part", "s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).where("part <> other")
+    spread = spread.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    keys = ["session_id", "low", "high"]
+    left, right = spread.where("part < other").select(*keys, F.col("s").alias("l")), spread.where("part > other").select(*keys, F.col("s").alias("r"))
+    across = left.join(right, keys).select("r", F.explode("l").alias("x")).select("x", F.explode("r").alias("y"))
+    forward = F.col("x.item") < F.col("y.item")
+    return inside.unionByName(across.select(F.when(forward, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(forward, F.col("y")).otherwise(F.col("x")).alias("b")))
+
+
 def item_pairs(sequences: DataFrame, least: int = 2) -> DataFrame:
     """Co-occurrence edges by (item_a < item_b): sessions with both, and the mean distance of their first places.
 
-    Items below the support can't be in a kept pair and are removed first; pairs of a session are formed from its
-    array, and counted before the shuffle.
+    Items below the support can't be in a kept pair and are removed first.
     """
     names = F.transform(F.filter("item_sequence", lambda i: F.lower(F.trim(i["name"])) != ""), lambda i: F.lower(F.trim(i["name"])))
     rows = sequences.where("session_id IS NOT NULL").select("session_id", F.posexplode(names).alias("pos", "item"))
     first = rows.groupBy("session_id", "item").agg(F.min("pos").alias("pos"))
     often = first.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("item")
-    lists = first.join(often, "item", "left_semi").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("item", "pos"))).alias("s"))
-    left = lists.select("s", F.posexplode("s").alias("i", "a"))
-    pairs = left.select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
+    pairs = pairs_in_sessions(first.join(often, "item", "left_semi"))
     edges = pairs.groupBy(F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b")).agg(F.count(F.lit(1)).alias("coview_count"), F.round(F.avg(F.abs(F.col("a.pos") - F.col("b.pos"))), 4).alias("avg_distance"))
     return edges.where(F.col("coview_count") >= least)
 

@@ -217,7 +217,7 @@ QUERIES = {
     "geocode": geocode,
     "link_health": link_health,
     "tags_from_fields": tags_from_fields,
-    "short_descriptions": lambda s, d: _archive(s, d).where(F.length("description") < 100).select("record_id", F.length("description").alias("n")),
+    "short_descriptions": lambda s, d: _archive(s, d).where(F.length("description") < 50).select("record_id", F.length("description").alias("n")),
     "title_match": title_match,
 }
 
@@ -289,5 +289,5 @@ SQL = {
     "tags_from_fields": """WITH m AS (SELECT record_id, CASE WHEN coalesce(len(topic_tags), 0) = 0 THEN list_filter([lower(category), lower(type), lower(difficulty)], lambda x: x IS NOT NULL) ELSE topic_tags END AS t FROM datasets_archive),
         u AS (SELECT record_id, unnest(t) AS x, generate_subscripts(t, 1) AS p FROM m), f AS (SELECT record_id, x, min(p) AS p FROM u GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY p) AS n FROM f)
         SELECT m.record_id, coalesce(string_agg(x, '|' ORDER BY n) FILTER (WHERE n <= 4), '') AS tags FROM m LEFT JOIN r ON r.record_id = m.record_id GROUP BY 1""",
-    "short_descriptions": "SELECT record_id, CAST(length(description) AS INTEGER) AS n FROM datasets_archive WHERE length(description) < 100",
+    "short_descriptions": "SELECT record_id, CAST(length(description) AS INTEGER) AS n FROM datasets_archive WHERE length(description) < 50",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, catalog, io, ml, problems, ranking, search, selection, sessions, vectors
+from . import analytics, catalog, details, io, ml, problems, ranking, search, selection, sessions, vectors
 
-MODULES = (problems, analytics, sessions, ranking, vectors, search, catalog, ml, io, selection)
+MODULES = (problems, analytics, sessions, ranking, vectors, search, catalog, ml, io, selection, details)
 
 
 def queries() -> dict:

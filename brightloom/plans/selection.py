@@ -93,9 +93,9 @@ def topic_rotation(spark, sf_dir):
 
 
 def often_cited(spark, sf_dir):
-    """Highest values first, one for each prefix of 6 characters, at most 40."""
-    p = table(spark, sf_dir, "part").where("p_retailprice >= 950").select("p_partkey", "p_name", F.round("p_retailprice", 2).alias("v"))
-    best = p.groupBy(F.lower(F.substring("p_name", 1, 6)).alias("prefix")).agg(F.max_by(F.struct("p_partkey", "v"), F.struct("v", -F.col("p_partkey"))).alias("b"))
+    """Highest values first, one for each prefix of 30 characters, at most 40."""
+    p = table(spark, sf_dir, "part").where("p_retailprice >= 1000").select("p_partkey", "p_name", F.round("p_retailprice", 2).alias("v"))
+    best = p.groupBy(F.lower(F.substring("p_name", 1, 30)).alias("prefix")).agg(F.max_by(F.struct("p_partkey", "v"), F.struct("v", -F.col("p_partkey"))).alias("b"))
     return best.select("b.p_partkey", "b.v").orderBy(F.desc("v"), "p_partkey").limit(40)
 
 
@@ -177,7 +177,7 @@ SQL = {
         SELECT record_id, CASE WHEN name IN (SELECT name FROM a WHERE record_id % 10 = 1) THEN 'moved' ELSE 'kept' END AS to FROM k""".replace(" AS to ", ' AS "to" '),
     "candidates": "SELECT slug, name FROM leading_lights",
     "topic_rotation": "SELECT n_name, 'some left' AS state FROM nation WHERE n_nationkey >= 20 UNION ALL SELECT n_name, 'reset' FROM nation",
-    "often_cited": """WITH p AS (SELECT p_partkey, round(p_retailprice, 2) AS v, lower(left(p_name, 6)) AS x FROM part WHERE p_retailprice >= 950), b AS (SELECT p_partkey, v FROM p QUALIFY row_number() OVER (PARTITION BY x ORDER BY v DESC, p_partkey) = 1)
+    "often_cited": """WITH p AS (SELECT p_partkey, round(p_retailprice, 2) AS v, lower(left(p_name, 30)) AS x FROM part WHERE p_retailprice >= 1000), b AS (SELECT p_partkey, v FROM p QUALIFY row_number() OVER (PARTITION BY x ORDER BY v DESC, p_partkey) = 1)
         SELECT * FROM b ORDER BY v DESC, p_partkey LIMIT 40""",
     "themed": f"""WITH m AS (SELECT record_id, coalesce(type, 'none') AS type, {" + ".join(f"CAST(contains(lower(name), '{k}') AS INTEGER)" for k in ("wage", "price", "trade", "survey"))} AS matches FROM datasets_archive WHERE name IS NOT NULL),
         t AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY matches DESC, record_id) AS turn FROM m WHERE matches >= 1) SELECT record_id, type, matches FROM t ORDER BY turn, matches DESC, record_id LIMIT 8""",

@@ -78,7 +78,7 @@ SQL = {
     "rage_click": f"""WITH {_STAR}, c AS (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY at_ms, event_id) = event_type THEN 0 ELSE 1 END AS ch FROM st),
         r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY at_ms, event_id) AS run FROM c),
         b AS (SELECT *, lag(at_ms, 2) OVER (PARTITION BY user_id, run ORDER BY at_ms, event_id) AS before FROM r)
-        SELECT event_id, user_id FROM b WHERE at_ms - before <= 14400000""",
+        SELECT event_id, user_id FROM b WHERE at_ms - before < 14400000""",
     "reformulation": rf"""WITH {EV}, q AS (SELECT id, sid, at_ms, d->>'$.q' AS q FROM ev WHERE type = 'search' AND sid IS NOT NULL AND d->>'$.q' IS NOT NULL),
         p AS (SELECT id, lag(id) OVER w AS previous_id, list_distinct(list_filter(regexp_split_to_array(lower(q), '\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(lag(q) OVER w), '\s+'), lambda x: x <> '')) AS b
               FROM q WINDOW w AS (PARTITION BY sid ORDER BY at_ms, id)),
