@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 #: Names of query fields and their aliases.
 ALIASES = {
     "author": "author", "authors": "author", "by": "author", "writer": "author", "year": "year", "date": "year", "published": "year", "yr": "year",
@@ -116,14 +118,36 @@ def postings(items: DataFrame, boosts: dict[str, float] = FIELD_BOOSTS) -> DataF
     return rows.groupBy(F.col("t.term").alias("term"), "id").agg(F.sum("t.w").alias("weight"))
 
 
-def bm25(posts: DataFrame, terms: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``id, score`` of items with any of the terms; ``terms`` gives each term's factor (0.9 for synonyms)."""
+def index(items: DataFrame, boosts: dict[str, float] = FIELD_BOOSTS) -> DataFrame:
+    """The postings as a written table; build it once and give it to any number of queries."""
+    return cut(postings(items, boosts), "index")
+
+
+def near_terms(posts: DataFrame, words: list[str], fuzzy: float = 0.2, prefix: float = 0.375, typo: float = 0.45) -> DataFrame:
+    """``term, factor``: the terms of an index that a query's words mean: themselves, terms that start with them, and terms within
+    the edit distance ``fuzzy`` x length (rounded); the longer or farther, the less they count."""
+    size, tests = F.length("term"), []
+    for w in dict.fromkeys(words):
+        most = int(fuzzy * len(w) + 0.5)
+        away = F.levenshtein("term", F.lit(w))
+        starts = F.when(F.col("term").startswith(w), prefix * size / (size + 0.3 * (size - len(w))))
+        near = F.when(away <= most, typo * size / (size + away)) if most else F.lit(None).cast("double")
+        tests.append(F.when(F.col("term") == w, 1.0).otherwise(F.greatest(starts, near)))
+    vocabulary = posts.select("term").distinct()
+    return vocabulary.select("term", F.explode(F.array_compact(F.array(*tests) if tests else F.array().cast("array<double>"))).alias("f")).groupBy("term").agg(F.sum("f").alias("factor"))
+
+
+def bm25(posts: DataFrame, terms: dict[str, float] | DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``id, score`` of items with any of the terms; ``terms`` gives each term's factor (0.9 for synonyms), as a table for ``near_terms``."""
     lengths = posts.groupBy("id").agg(F.sum("weight").alias("length"))
     stats = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).alias("s")).scalar()
-    hit = posts.where(F.col("term").isin(list(terms)))
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    factor = F.coalesce(F.create_map(*[F.lit(x) for kv in terms.items() for x in kv])[F.col("term")], F.lit(1.0))
-    joined = hit.join(F.broadcast(df), "term").join(lengths, "id").withColumn("s", stats).withColumns({"n": F.col("s.n"), "mean": F.col("s.mean")})
+    if isinstance(terms, dict):
+        factor = F.create_map(*[F.lit(x) for kv in terms.items() for x in kv])[F.col("term")] if terms else F.lit(None).cast("double")
+        hit = posts.where(F.col("term").isin(list(terms))).withColumn("factor", factor)
+    else:
+        hit = posts.join(terms, "term")
+    df, factor = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df")), F.col("factor")
+    joined = hit.join(df, "term").join(lengths, "id").withColumn("s", stats).withColumns({"n": F.col("s.n"), "mean": F.col("s.mean")})
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("weight") * (k1 + 1) / (F.col("weight") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     return joined.groupBy("id").agg(F.round(F.sum(factor * idf * tf), 9).alias("score"))  # rounded, so that ties don't hang on the order of sums
@@ -290,7 +314,7 @@ def search(items: DataFrame, query: str, top: int = 400, keep: int = 200, facets
     text = parsed.clean
     wanted = matches(parsed) & (facets.condition() if facets else F.lit(True))
     base = items.where(wanted) if filter_mode == "pre" else items
-    scored = bm25(postings(items), query_terms(text))
+    scored = bm25(index(items), query_terms(text))
     if filter_mode == "pre":
         scored = scored.join(base.select("id"), "id", "left_semi")
     scored = scored.orderBy(F.desc("score"), "id").limit(top)

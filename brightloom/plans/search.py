@@ -25,10 +25,16 @@ def parse_filter(spark, sf_dir):
 
 
 def keyword_bm25(spark, sf_dir):
-    scored = S.bm25(S.postings(_items(spark, sf_dir)), S.query_terms("wage survey"))
+    scored = S.bm25(S.index(_items(spark, sf_dir)), S.query_terms("wage survey"))
     return scored.select("id", F.round("score", 5).alias("score"))
 
 
+def keyword_fuzzy(spark, sf_dir):
+    """A misspelt word and the beginning of one: prefix and fuzzy terms."""
+    index = S.index(_items(spark, sf_dir))
+    return S.bm25(index, S.near_terms(index, ["survay", "wag"])).select("id", F.round("score", 5).alias("score"))
+
+
 def exact_boost(spark, sf_dir):
     return _items(spark, sf_dir).where("name IS NOT NULL").select("id", F.round(S.exact_boost(F.lit(1.0), "wage survey"), 6).alias("boost"))
 
@@ -81,6 +87,7 @@ def _documents(spark, sf_dir):
 QUERIES = {
     "parse_filter": parse_filter,
     "keyword_bm25": keyword_bm25,
+    "keyword_fuzzy": keyword_fuzzy,
     "exact_boost": exact_boost,
     "rrf": rrf,
     "final_score": final_score,
@@ -107,7 +114,11 @@ _POST = f"""tk AS (SELECT id, unnest({_TOK('name')}) AS term, 3.0::DOUBLE AS w F
 
 def _bm25_sql(terms: dict[str, float], posts: str = "po") -> str:
     values = ", ".join(f"('{t}', {f})" for t, f in terms.items())
-    return f"""le AS (SELECT id, sum(weight) AS length FROM {posts} GROUP BY 1), st AS (SELECT count(*) AS n, avg(length) AS mean FROM le), qt(term, f) AS (VALUES {values}),
+    return f"qt(term, f) AS (VALUES {values}), {_bm25_rest(posts)}"
+
+
+def _bm25_rest(posts: str = "po") -> str:
+    return f"""le AS (SELECT id, sum(weight) AS length FROM {posts} GROUP BY 1), st AS (SELECT count(*) AS n, avg(length) AS mean FROM le),
     hi AS (SELECT p.*, f FROM {posts} p JOIN qt USING (term)), df AS (SELECT term, count(*) AS df FROM hi GROUP BY 1),
     bm AS (SELECT id, round(sum(f * ln(1 + (n - df + 0.5) / (df + 0.5)) * weight * 2.2 / (weight + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM hi JOIN df USING (term) JOIN le USING (id), st GROUP BY 1)"""
 
@@ -122,6 +133,9 @@ _FLAT = r"regexp_replace(text, '\s+', ' ', 'g')"
 SQL = {
     "parse_filter": f"WITH {_IT} SELECT id FROM it WHERE type = 'survey' AND contains(array_to_string(topics, ','), 'trade') AND contains(lower(authors), 'statistics') AND NOT contains({_TEXT}, 'weekly')",
     "keyword_bm25": f"WITH {_IT}, {_POST}, {_bm25_sql(_WAGE)} SELECT id, round(score, 5) AS score FROM bm",
+    "keyword_fuzzy": f"""WITH {_IT}, {_POST}, vo AS (SELECT DISTINCT term, length(term) AS s FROM po), q(w, most) AS (VALUES ('survay', 1), ('wag', 1)),
+        qm AS (SELECT term, CASE WHEN term = w THEN 1.0 ELSE greatest(CASE WHEN starts_with(term, w) THEN 0.375 * s / (s + 0.3 * (s - length(w))) END, CASE WHEN levenshtein(term, w) <= most THEN 0.45 * s / (s + levenshtein(term, w)) END) END AS f FROM vo, q),
+        qt AS (SELECT term, sum(f)::DOUBLE AS f FROM qm WHERE f IS NOT NULL GROUP BY 1), {_bm25_rest()} SELECT id, round(score, 5) AS score FROM bm""",
     "exact_boost": f"WITH {_IT} SELECT id, round({_BOOST('wage survey', ['wage', 'survey'])}, 6) AS boost FROM it WHERE name IS NOT NULL",
     "rrf": f"""WITH {_IT}, k AS (SELECT id, CAST(length(name) % 7 AS DOUBLE) AS score FROM it WHERE lower(name) LIKE '%survey%' ORDER BY score DESC, id LIMIT 100),
         s AS (SELECT id, length(name) / 100 AS score FROM it WHERE name IS NOT NULL ORDER BY score DESC, id LIMIT 100),
