@@ -65,11 +65,14 @@ def evaluate(predicted: DataFrame, target: str) -> DataFrame:
 
 
 def preferences(dwell: DataFrame, clicks: DataFrame, shown: DataFrame, searched: DataFrame) -> DataFrame:
-    """``sid, item, rating`` of implicit feedback: seconds spent, 10 a click, 0.5 an impression, 5 a search click."""
+    """``sid, item, rating`` of implicit feedback: seconds spent, 10 a click, 0.5 an impression, 5 a search click. Clicks and
+    impressions without a session go to a pseudo-session of their item."""
     parts = [
         dwell.where("dwell_ms BETWEEN 1 AND 86400000").select(F.col("session_id").alias("sid"), F.lower(F.trim("name")).alias("item"), (F.col("dwell_ms") / 1000).alias("rating")),
         *[df.select("sid", F.lower(F.trim("name")).alias("item"), F.lit(w).alias("rating")) for df, w in ((clicks, 10.0), (shown, 0.5), (searched, 5.0))],
     ]
+    for i in (1, 2):
+        parts[i] = parts[i].withColumn("sid", F.coalesce("sid", F.concat(F.lit("without session: "), "item")))
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).where("sid IS NOT NULL AND item <> ''")
     return rows.groupBy("sid", "item").agg(F.sum("rating").alias("rating"))
 

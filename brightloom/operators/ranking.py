@@ -29,7 +29,8 @@ def signals(events: DataFrame, dwell: DataFrame, sequences: DataFrame) -> DataFr
         .when((F.col("type") == "frustration") & (kind == "quick_bounce"), "quick_bounces")
     )
     at_page = F.col("type").isin("scroll_milestone", "frustration")
-    from_events = events.select(F.when(at_page, on_page).otherwise(by_payload).alias("item"), signal.alias("signal"), F.lit(1.0).alias("value"))
+    told = events.where(F.col("type").isin("click", "impression", "search_click", "scroll_milestone", "frustration"))  # no other type has a signal
+    from_events = told.select(F.when(at_page, on_page).otherwise(by_payload).alias("item"), signal.alias("signal"), F.lit(1.0).alias("value"))
     spent = dwell.where("dwell_ms BETWEEN 1 AND 86400000").select(name("name").alias("item"), F.explode(F.array(F.struct(F.lit("dwell_minutes").alias("signal"), (F.col("dwell_ms") / 60000.0).alias("value")), F.struct(F.lit("viewable_seconds").alias("signal"), F.coalesce("viewable_seconds", F.lit(0.0)).alias("value")))).alias("s")).select("item", "s.signal", "s.value")
     deep = sequences.where("duration_ms >= 120000").select(F.explode(F.array_distinct(F.transform("item_sequence", lambda i: F.lower(F.trim(i["name"]))))).alias("item")).select(F.nullif("item", F.lit("")).alias("item"), F.lit("deep_sessions").alias("signal"), F.lit(1.0).alias("value"))
     rows = from_events.unionByName(spent).unionByName(deep).where("item IS NOT NULL AND signal IS NOT NULL")
@@ -49,7 +50,8 @@ def engagement(signals_: DataFrame) -> DataFrame:
 
 
 def normalised(df: DataFrame, value: str, out: str) -> DataFrame:
-    """A column scaled over all rows; the two bounds are a scalar subquery instead of a window over everything."""
+    """A column scaled over all rows; the two bounds are a scalar subquery instead of a window over everything. The rows are
+    read twice: give a written table where they are costly."""
     bounds = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high")).alias("b")).scalar()
     return df.withColumn("_b", bounds).withColumn(out, scale(F.col(value), F.col("_b.low"), F.col("_b.high"))).drop("_b")
 
@@ -72,8 +74,8 @@ def ranked(df: DataFrame, score: str, key: str) -> DataFrame:
 
 def hybrid(observed: DataFrame, predicted: DataFrame, key: str = "item") -> DataFrame:
     """Observed items keep their scaled score, cold ones get 0.3 of their scaled prediction; scaled again together."""
-    actual = normalised(observed.where("raw > 0").select(key, "raw"), "raw", "actual")
-    guess = normalised(predicted.select(key, "prediction"), "prediction", "guess")
+    actual = normalised(cut(observed.where("raw > 0").select(key, "raw"), "observed"), "raw", "actual")
+    guess = normalised(cut(predicted.select(key, "prediction"), "predicted"), "prediction", "guess")
     both = guess.join(actual.select(key, "actual"), key, "left")
     both = both.withColumn("cold_start", F.col("actual").isNull()).withColumn("mixed", F.coalesce("actual", 0.3 * F.col("guess")))
     return normalised(both, "mixed", "score").select(key, "score", "cold_start")

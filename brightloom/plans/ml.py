@@ -105,7 +105,7 @@ SQL = {
     "item_features": f"""SELECT record_id, {", ".join(f"{_CODE(c)} AS {c}_code" for c in ("category", "type", "difficulty"))}, coalesce(length(name), 0) AS name_length, coalesce(length(description), 0) AS description_length,
         CAST(coalesce(len(tags), 0) AS BIGINT) AS tags_count, CAST(coalesce(len(topic_tags), 0) AS BIGINT) AS topic_tags_count, CAST(url IS NOT NULL AS BIGINT) AS has_url, CAST(coalesce(starts_with(url, 'https'), false) AS BIGINT) AS is_secure FROM datasets_archive""",
     "als_input": f"""WITH {EV}, r AS (SELECT session_id AS sid, lower(trim(name, ' ')) AS item, dwell_ms / 1000 AS rating FROM content_dwell WHERE dwell_ms BETWEEN 1 AND 86400000
-        UNION ALL SELECT sid, lower(trim(d->>'$.name', ' ')), 10.0 FROM ev WHERE type = 'click' UNION ALL SELECT sid, lower(trim(d->>'$.name', ' ')), 0.5 FROM ev WHERE type = 'impression' UNION ALL SELECT sid, lower(trim(d->>'$.resultId', ' ')), 5.0 FROM ev WHERE type = 'search_click')
+        UNION ALL SELECT coalesce(sid, 'without session: ' || lower(trim(d->>'$.name', ' '))), lower(trim(d->>'$.name', ' ')), CASE type WHEN 'click' THEN 10.0 ELSE 0.5 END FROM ev WHERE type IN ('click', 'impression') UNION ALL SELECT sid, lower(trim(d->>'$.resultId', ' ')), 5.0 FROM ev WHERE type = 'search_click')
         SELECT sid, item, round(sum(rating), 4) AS rating FROM r WHERE sid IS NOT NULL AND item <> '' GROUP BY 1, 2""",
     "coldstart_knn": f"""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), s AS (SELECT a.id, b.id AS o, round({_DOT("a.vec", "b.vec")}, 3) AS s, (b.id % 17) / 16.0::DOUBLE AS y FROM v a, v b WHERE a.id % 4 = 0 AND b.id % 4 <> 0),
         k AS (SELECT id, s, y FROM s WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, o) <= 5), g AS (SELECT id, sum(s * y) / sum(s) AS g FROM k GROUP BY 1)

@@ -26,7 +26,7 @@ def engagement_score(spark, sf_dir):
 
 
 def rank_all(spark, sf_dir):
-    scored = R.normalised(R.engagement(_signals(spark, sf_dir)).where("raw > 0"), "raw", "s").withColumn("score", F.round("s", 6))
+    scored = R.normalised(cut(R.engagement(_signals(spark, sf_dir)).where("raw > 0").select("item", "raw"), "raw"), "raw", "s").withColumn("score", F.round("s", 6))
     return R.ranked(scored.select("item", "score"), "score", "item")
 
 

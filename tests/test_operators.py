@@ -272,3 +272,23 @@ def test_the_rest_works_without_the_deleted_folders(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'p4_found' in q and 'p1_found' not in q and set(e.oracle_sql()) <= set(q); print(len(q))"
     assert int(subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout) > 150
+
+
+def test_als_finds_what_is_used_together(spark):
+    from brightloom.operators import ml
+
+    rows = [(f"s{i}", f"{'ab'[i % 2]}{k}", 5.0) for i in range(40) for k in range(6) if (i * 7 + k * 3) % 4]
+    got = ml.als_similar(spark.createDataFrame(rows, "sid string, item string, rating double"), top=2).collect()
+    assert {r.item for r in got} == {f"{g}{k}" for g in "ab" for k in range(6)}
+    assert all(r.item[0] == r.similar[0] for r in got)
+
+
+def test_best_number_of_clusters_and_boosted_trees(spark):
+    from brightloom.operators import ml
+
+    points = [(i, [1.0 if i % 3 == k else 0.02 * (i % 5) for k in range(3)]) for i in range(60)]
+    scores = {r.k: r.silhouette for r in V.best_k(spark.createDataFrame(points, "id bigint, vec array<float>"), [2, 3, 5]).collect()}
+    assert max(scores, key=scores.get) == 3
+    rows = [(i, float(i % 10), 4.0 if i % 10 > 5 else 1.0, i % 5 > 0) for i in range(100)]
+    predicted, _ = ml.regress(spark.createDataFrame(rows, "id bigint, x double, y double, train boolean"), ["x"], "y", "trees")
+    assert max(abs(r.prediction - r.y) for r in predicted.collect()) < 0.5

@@ -17,7 +17,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     if name in ("best_k", "regression_trees", "als"):
-        pytest.skip("slow; run by the bench")
+        pytest.skip("slow; tested on small data in test_operators")
     found = QUERIES[name](spark, SF).toPandas()
     if name in SQL:
         wanted = con.sql(SQL[name]).df()
